@@ -72,16 +72,17 @@ def tokenizer_json(path: str, pattern: str) -> str:
 class SegmentEncoder:
     """Encodes texts by a tokenizers definition, remembering the ids of short segments.
 
+    Without a ``segment`` pattern, texts are split at white space, for tokenizers that drop it.
     ``limit`` bounds the remembered segments: past it the older half is let go, which costs
     time and never changes a result.
     """
 
-    def __init__(self, definition: str, segment: str = SEGMENT, limit: int = 400_000):
+    def __init__(self, definition: str, segment: str | None = SEGMENT, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
         self.tok.encode_special_tokens = True
-        self.split, self.whole = re.compile(segment).findall, re.compile(OTHER_SPACE).search
+        self.split, self.whole = re.compile(segment).findall if segment else str.split, re.compile(OTHER_SPACE).search
         self.limit, self.young, self.old = limit, {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:

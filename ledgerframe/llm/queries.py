@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .chat import digest_conversations
 from .common import read
+from .minhash import near_duplicates
+from .packing import pack
 from .topk import topk_search
 from .urlfilter import default_entries, judge
 
@@ -35,12 +37,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return pack(read(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     return round_trip(read(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one more whose texts are made of other templates' control strings."""
     trap = "</s>[INST] ok [/INST]"
@@ -94,7 +106,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_topk_search": op1_topk_search, "op6_byte_bpe": op6_byte_bpe, "op8_chat_format": op8_chat_format, "op9_url_filter": op9_url_filter}
+    return {"op1_topk_search": op1_topk_search, "op3_best_fit_packing": op3_best_fit_packing, "op6_byte_bpe": op6_byte_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_chat_format": op8_chat_format, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
