@@ -1,8 +1,65 @@
-"""The corpus pipeline: quality, toxicity, near-duplicates, packing."""
+"""The corpus pipeline: documents of low quality go, then toxic ones, then all but one of each group of near-duplicates; the rest is packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it. The two classifiers are
+trained on the labelled part of the tables in ``sf_dir``, so a stage's decisions don't depend on what
+earlier stages removed. All but the last stage return the columns of ``docs`` unchanged.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerframe.llm.common import materialize, read
+from ledgerframe.llm.minhash import near_duplicates
+from ledgerframe.llm.packing import pack
+from ledgerframe.llm.quality import quality_scores, train_quality
+from ledgerframe.llm.toxicity import toxicity_scores, train_toxicity
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents with a quality score of 0.5 or more."""
+    forest = train_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return _kept(docs, quality_scores, forest, F.col("score") >= 0.5)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents with a toxicity score under 0.3."""
+    net = train_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return _kept(docs, toxicity_scores, net, F.col("score") < 0.3)
+
+
+def _kept(docs: DataFrame, scores, model, rule) -> DataFrame:
+    """The rows that a score keeps. All columns pass through the scoring itself, so nothing is joined back."""
+    own = docs.columns
+    named = docs.toDF(*(f"c{i}" for i in range(len(own)))).withColumn("doc_id", F.col(f"c{own.index('doc_id')}")).withColumn("text", F.col(f"c{own.index('text')}"))
+    found = scores(named, model, carry=tuple(f"c{i}" for i in range(len(own)))).where(rule)
+    return found.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(own)))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group, the one with the smallest id; rows without an id stay."""
+    dropped = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents and their places in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", dedup_stage), ("packing", packing_stage)]
+
+#: Trained models and the packing search are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over ``documents``, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs)
+    return docs

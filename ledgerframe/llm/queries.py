@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .chat import digest_conversations
-from .common import read
+from .common import crc_of_id, read
 from .minhash import near_duplicates
 from .packing import pack
+from .quality import quality_scores, train_quality
 from .topk import topk_search
+from .toxicity import toxicity_scores, train_toxicity
 from .urlfilter import default_entries, judge
 
 
@@ -43,6 +45,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"))
 
 
+def _scored(scores: DataFrame, fold: int, held: int, cut: float) -> DataFrame:
+    out = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(fold)) == held, F.lit(False))
+    return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _scored(quality_scores(docs, train_quality(docs, read(spark, sf_dir, "labels"), fold=3, held=1)), 3, 1, 0.5)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _scored(toxicity_scores(docs, train_toxicity(docs, read(spark, sf_dir, "labels"), fold=4, held=2)), 4, 2, 0.3)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -106,7 +123,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_topk_search": op1_topk_search, "op3_best_fit_packing": op3_best_fit_packing, "op6_byte_bpe": op6_byte_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_chat_format": op8_chat_format, "op9_url_filter": op9_url_filter}
+    return {"op1_topk_search": op1_topk_search, "op3_best_fit_packing": op3_best_fit_packing, "op5_quality": op5_quality, "op6_byte_bpe": op6_byte_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_chat_format": op8_chat_format, "op9_url_filter": op9_url_filter, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
