@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .chat import digest_conversations
 from .common import crc_of_id, read
+from .flac import media_digest
+from .htmltext import main_text
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores, train_quality
@@ -39,6 +41,14 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(read(spark, sf_dir, "documents"))
+
+
+def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -123,7 +133,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_topk_search": op1_topk_search, "op3_best_fit_packing": op3_best_fit_packing, "op5_quality": op5_quality, "op6_byte_bpe": op6_byte_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_chat_format": op8_chat_format, "op9_url_filter": op9_url_filter, "op10_toxicity": op10_toxicity}
+    return {"op1_topk_search": op1_topk_search, "op2_flac": op2_flac, "op3_best_fit_packing": op3_best_fit_packing, "op4_html_consensus": op4_html_consensus, "op5_quality": op5_quality, "op6_byte_bpe": op6_byte_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_chat_format": op8_chat_format, "op9_url_filter": op9_url_filter, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
