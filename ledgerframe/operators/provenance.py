@@ -93,5 +93,6 @@ def verify_version(versions: DataFrame, contents: DataFrame, version_id: str) ->
     target = versions.where(F.col("version_id") == version_id).select("dataset_id", F.col("version_number").alias("_n"))
     upto = versions.join(target, "dataset_id").where(F.col("version_number") <= F.col("_n")).drop("_n")
     found = verify_chain(upto, contents.join(upto.select("version_id"), "version_id", "left_semi"))
-    texts = F.array_sort(F.flatten(F.collect_list(F.transform("issues", lambda c: F.concat("version_id", F.lit(":"), c)))))
-    return found.agg(F.lit(version_id).alias("version_id"), F.coalesce(F.max(F.size("issues")) == 0, F.lit(False)).alias("valid"), F.count("*").alias("checked_versions"), texts.alias("issues"))
+    found = found.select(F.col("issues").alias("_i"), F.transform("issues", lambda c: F.concat("version_id", F.lit(":"), c)).alias("_t"))
+    texts = F.array_sort(F.flatten(F.collect_list("_t")))
+    return found.agg(F.lit(version_id).alias("version_id"), F.coalesce(F.max(F.size("_i")) == 0, F.lit(False)).alias("valid"), F.count("*").alias("checked_versions"), texts.alias("issues"))

@@ -62,13 +62,13 @@ class Registry:
         last = self.tables.read("audit").agg(F.max("sequence")).first()[0] or 0
         self.tables.append("audit", [(last + 1, action, kind, resource, actor, canonical_json(dict(details or {})), dt.datetime.now(dt.timezone.utc))])
 
-    def get(self, table: str, **key: str) -> Row:
+    def get(self, table: str, /, **key: str) -> Row:
         row = self.tables.one(table, **key)
         if row is None:
             raise NotFoundError(f"no such row in {table}: {key}")
         return row
 
-    def list(self, table: str, limit: int = PAGE_DEFAULT, offset: int = 0, **where: Any) -> DataFrame:
+    def list(self, table: str, /, limit: int = PAGE_DEFAULT, offset: int = 0, **where: Any) -> DataFrame:
         """A page of a table in its listing order, filtered by equality on the given columns (None: no filter)."""
         df = self.tables.read(table)
         for c, v in where.items():

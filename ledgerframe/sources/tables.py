@@ -52,9 +52,9 @@ class Tables:
         writer = df.select(*self.schema(name).names).write.mode("append")
         (writer.partitionBy("version_id") if name == "records" else writer).parquet(self.path(name))
 
-    def one(self, name: str, **where: object) -> Row | None:
+    def one(self, table: str, /, **where: object) -> Row | None:
         """The first row with these values, found by pushed-down filters."""
-        df = self.read(name)
+        df = self.read(table)
         for c, v in where.items():
             df = df.where(F.col(c).eqNullSafe(F.lit(v)))
         return df.first()
