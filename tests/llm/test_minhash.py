@@ -67,11 +67,11 @@ def test_copies_chains_and_strangers(spark):
     check(spark, [(i * 7 % 1009, t) for i, t in enumerate(rows)])
 
 
-def test_block_comparison_alone_finds_the_same(spark):
+def test_blocks_of_any_size_find_the_same(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(100)]
     rows = list(enumerate(variants(rng, base, 60, 9)))
-    check(spark, rows, pivots=1, block=7)
+    check(spark, rows, block=7)
 
 
 def test_edges(spark):
