@@ -31,6 +31,7 @@ PAGE, PAGE_DEFAULT, CLOSURE_IDS, DOSSIER_IDS, EVOLUTION_IDS, DEPTHS = (1, 500),
 ORDERS = {
     "sources": ("created_at", "source_id"), "datasets": ("created_at", "dataset_id"), "versions": ("-version_number",), "contracts": ("-version_number",),
     "links": ("created_at", "id"), "audit": ("-sequence",), "graph_reports": ("-created_at", "-report_id"),
+    "evaluations": ("-sequence",), "records": ("version_id", "row_index"), "report_parts": ("report_id", "part", "item"),
 }
 
 
