@@ -18,7 +18,7 @@ import base64
 import codecs
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,20 +69,27 @@ def tokenizer_json(path: str, pattern: str) -> str:
     return tok.to_str()
 
 
+_segment, _other_space = re.compile(SEGMENT).findall, re.compile(OTHER_SPACE).search
+
+
+def segments_with_space(text: str) -> list[str] | None:
+    """Segments for byte-level patterns, where a space belongs to the word after it."""
+    return None if _other_space(text) else _segment(text)
+
+
 class SegmentEncoder:
     """Encodes texts by a tokenizers definition, remembering the ids of short segments.
 
-    Without a ``segment`` pattern, texts are split at white space, for tokenizers that drop it.
-    ``limit`` bounds the remembered segments: past it the older half is let go, which costs
+    ``split`` gives a text's segments, or None for a text that must be encoded whole. ``limit`` bounds the remembered segments: past it the older half is let go, which costs
     time and never changes a result.
     """
 
-    def __init__(self, definition: str, segment: str | None = SEGMENT, limit: int = 400_000):
+    def __init__(self, definition: str, split: Callable[[str], list[str] | None] | None = None, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
         self.tok.encode_special_tokens = True
-        self.split, self.whole = re.compile(segment).findall if segment else str.split, re.compile(OTHER_SPACE).search
+        self.split = split or segments_with_space
         self.limit, self.young, self.old = limit, {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -93,7 +100,7 @@ class SegmentEncoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         texts = list(texts)
-        parts = [None if self.whole(t) else self.split(t) for t in texts]
+        parts = list(map(self.split, texts))
         known, old = self.young, self.old
         fresh = []
         for words in parts:
@@ -113,10 +120,9 @@ class SegmentEncoder:
         return out
 
 
-def encoder(definition: str, segment: str = SEGMENT) -> SegmentEncoder:
+def encoder(definition: str) -> SegmentEncoder:
     """The worker's encoder for this definition."""
-    key = "segments", hashlib.sha256((definition + segment).encode()).hexdigest()
-    return process_cache(key, lambda: SegmentEncoder(definition, segment))
+    return process_cache(("segments", hashlib.sha256(definition.encode()).hexdigest()), lambda: SegmentEncoder(definition))
 
 
 def id_bytes(definition: str) -> list[bytes]:

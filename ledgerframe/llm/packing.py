@@ -14,6 +14,7 @@ their length, found from counts per writing task; no group of pieces meets in on
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,9 +25,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SegmentEncoder
+from .bpe import OTHER_SPACE, SegmentEncoder
 from .common import materialize, process_cache
 
+# Letters and numbers of Latin text (below U+0180), and the matches of the word tokenizer's pattern in it.
+_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_latin_words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^ \t-\r\x85\xa0{_L}{_N}]+").findall
+_not_latin, _other_space = re.compile("[^\x00-\u017f]|\u0130").search, re.compile(OTHER_SPACE).search
+
+
+def lower_words(text: str) -> list[str] | None:
+    """Segments for a lower-casing tokenizer that drops white space.
+
+    Latin text is put in lower case and cut at every match of the tokenizer's pattern, so that case and punctuation don't
+    multiply the segments; other text is cut at white space, or (None) not at all.
+    """
+    if not _not_latin(text):
+        return _latin_words(text.lower())
+    return None if _other_space(text) else text.split()
+
+
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -245,7 +263,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = process_cache(key, lambda: SegmentEncoder(definition, segment=None))
+        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words))
         chunk, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
