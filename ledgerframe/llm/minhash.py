@@ -5,11 +5,12 @@ from exact band collisions; of each minimum only the low ``bits`` bits are kept,
 pair's similarity is estimated from equal low bits, corrected for chance collisions. Only pairs far under the
 threshold by that estimate are dropped (six standard errors); the rest are confirmed on full sets.
 
-Equal sets are folded first: one representative each takes part. Of a bucket's pairs, only those that can
-change a component are tested. Round by round each bucket holding several components picks a pivot
-and tests it against its members of other components, which is linear in the bucket. After a few rounds the members outside
-a bucket's main component are compared with the bucket in blocks of bounded size: a block emits only pairs that the
-estimate keeps. No pair is skipped, no bucket is capped.
+Equal sets are folded first: one representative each takes part. Every bucket has a hub, its member that lies in the
+largest buckets; near copies of one text so share the text as hub. All members are tested against their hubs, which is linear.
+Then each hub's group (the members of all its buckets, which holds every candidate pair) is compared where it still has
+several components: the members outside the main component against the group, in blocks of bounded size. A block
+drops pairs by estimate, counts the full intersections of the rest by matrix products over shared shingles and emits
+links only. No pair is skipped, no bucket is capped.
 """
 
 from __future__ import annotations
@@ -163,8 +164,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
 class _Links:
     """Tests pairs of documents: first on packed bits, then on full sets rebuilt from the texts."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, size: int, count: int, bits: int, percent: int):
-        self.docs, self.reps, self.size, self.percent = docs, reps, size, percent
+    def __init__(self, texts: DataFrame, reps: DataFrame, size: int, count: int, bits: int, percent: int):
+        self.texts, self.reps, self.size, self.percent = texts, reps, size, percent
         self.count, self.bits, self.floor = count, bits, keep_over(percent / 100, count, bits)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -183,10 +184,8 @@ class _Links:
         return rows.select("a", "b", "a_low", "b_low").mapInArrow(run, "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked on full sets. ``pairs`` must be materialised and distinct."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = self.docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
+        """The pairs that are linked on full sets. ``pairs`` must be distinct."""
+        side = lambda c: self.texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
         rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
         size, percent = self.size, self.percent
 
@@ -204,11 +203,7 @@ class _Links:
         return rows.mapInArrow(run, "a long, b long")
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, bits: int = 4, pivots: int = 3, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, bits: int = 4, block: int = 512) -> DataFrame:
     """Group documents whose word shingle sets have a similarity of ``percent`` / 100 or more.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept.
@@ -227,80 +222,101 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     classes = sigs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = materialize(sigs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     reps = materialize(sigs.where("digest is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys", "low"))
-    test = _Links(docs, reps.select("doc_id", "n_shingles", "low"), size, count, bits, percent)
 
     banded = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1").select("key", "hub")
-    buckets = materialize(banded.join(shared, "key").select("key", "doc_id", "hub"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(banded.join(shared, "key"))
     if buckets.isEmpty():
         return members.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), (F.col("doc_id") == F.col("rep")).alias("kept"))
-
-    start = buckets.select(F.col("doc_id").alias("id")).distinct().withColumn("comp", F.col("id"))
-    label, links, tested = materialize(start), None, None
-    open_ = buckets.withColumnRenamed("hub", "pivot")
-    for turn in range(pivots + 1):
-        if turn == pivots:
-            pairs = materialize(_blocks(open_, label, reps, test, block))
-        else:
-            wanted = open_.where("pivot <> doc_id").select(*_pair("pivot", "doc_id")).distinct()
-            if tested is not None:
-                wanted = wanted.join(tested, ["a", "b"], "left_anti")
-            wanted = materialize(wanted)
-            tested = wanted if tested is None else tested.union(wanted)
-            pairs = materialize(test.likely(wanted))
-        found = materialize(test.confirmed(pairs))
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            label = components(label, links)
-        if turn == pivots:
-            break
-        # Buckets of one component need no more tests; each other gets a pivot from among its smaller components.
-        here = buckets.select("key", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id")
-        mixed = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        if mixed.isEmpty():
-            break
-        here = here.join(mixed, "key")
-        pick = here.where("comp = high" if turn % 2 == 0 else "comp = low").groupBy("key").agg(F.max("doc_id").alias("pivot"), F.first("high" if turn % 2 == 0 else "low").alias("pivot_comp"))
-        open_ = materialize(here.select("key", "doc_id", "comp").join(pick, "key").where("comp <> pivot_comp").select("key", "doc_id", "pivot"))
-        if turn == pivots - 1:
-            open_ = materialize(here.select("key", "doc_id", "comp"))
+    weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("w"))
+    hubs = buckets.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("d"))).alias("h")).select("key", (-F.col("h.d")).alias("hub"))
+    groups = materialize(buckets.select("key", "doc_id").join(hubs, "key").select("hub", "doc_id").distinct())
+    # The corpus is shuffled once, by a merge join at every size; all comparing reads the candidates' texts only.
+    candidates = groups.select("doc_id").distinct()
+    texts = materialize(docs.join(candidates.hint("merge"), "doc_id", "left_semi"))
+    test = _Links(texts, reps.select("doc_id", "n_shingles", "low"), size, count, bits, percent)
+    stars = materialize(test.likely(groups.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))))
+    links = materialize(test.confirmed(stars))
+    start = groups.select(F.col("doc_id").alias("id")).distinct().withColumn("comp", F.col("id"))
+    label = components(start, links)
+    more = materialize(_across(groups, label, reps, test, block))
+    if not more.isEmpty():
+        label = components(label, links.union(more))
     out = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _blocks(mixed: DataFrame, label: DataFrame, reps: DataFrame, test: _Links, block: int) -> DataFrame:
-    """Likely pairs across the components of each bucket still mixed: what its pivots left to compare.
-
-    Members are numbered by (bucket, component) into parts of at most ``block`` rows; a cell compares two parts.
-    Members of the bucket's most frequent component meet only the others.
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted distinct hash arrays, by products of 0/1 matrices over shared hashes."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    if not xs or not ys:
+        return out
+    fx, fy = np.concatenate(xs), np.concatenate(ys)
+    both = np.intersect1d(fx, fy)
+    ix, iy = (np.repeat(np.arange(len(v)), list(map(len, v))) for v in (xs, ys))
+    px, py = np.searchsorted(both, fx), np.searchsorted(both, fy)
+    keep = lambda f, pos: (pos < len(both)) & (both[np.minimum(pos, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool)
+    kx, ky = keep(fx, px), keep(fy, py)
+    ix, px, iy, py = ix[kx], px[kx], iy[ky], py[ky]
+    for s in range(0, len(both), width):
+        a, b = np.zeros((len(xs), width), np.float32), np.zeros((len(ys), width), np.float32)
+        for m, i, p in ((a, ix, px), (b, iy, py)):
+            own = (p >= s) & (p < s + width)
+            m[i[own], p[own] - s] = 1
+        out += a @ b.T
+    return out
+
+
+def _across(groups: DataFrame, label: DataFrame, reps: DataFrame, test: _Links, block: int) -> DataFrame:
+    """Links (a, b) between different components of a hub's group.
+
+    Members of the group's most frequent component (m) meet only the others (o). Each side is dealt into parts of about ``block``
+    members and a bounded number of shingles; a cell compares two parts and holds nothing else. Of a document's links to one
+    component, a cell emits one.
     """
-    sizes = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
-    rows = mixed.join(main, "key").join(reps.select("doc_id", "low"), "doc_id")
-    rows = rows.withColumn("side", F.when(F.col("comp") == F.col("main"), "m").otherwise("o"))
-    rows = rows.withColumn("parts", F.when(F.col("side") == "m", F.ceil(F.col("most") / block)).otherwise(F.ceil((F.col("total") - F.col("most")) / block)).cast("long"))
-    rows = rows.withColumn("others", F.ceil((F.col("total") - F.col("most")) / block).cast("long")).withColumn("mains", F.ceil(F.col("most") / block).cast("long"))
-    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("key", "doc_id", "comp", "low", "side", "part", "others", "mains"))
-    cols = ["key", "x", "y", "doc_id", "comp", "low"]
-    left = rows.where("side = 'o'")
-    first = left.withColumn("x", F.col("part")).withColumn("y", F.explode(F.expr("sequence(-mains, others - 1)")))
-    first = first.where("y < 0 or y >= x").select(*cols)
-    own = left.withColumn("y", F.col("part")).withColumn("x", F.explode(F.expr("sequence(0L, part)"))).select(*cols)
-    main_ = rows.where("side = 'm' and others > 0").withColumn("y", -F.col("part") - 1).withColumn("x", F.explode(F.expr("sequence(0L, others - 1)"))).select(*cols)
-    count, bits, floor = test.count, test.bits, test.floor
+    here = groups.join(label.withColumnRenamed("id", "doc_id"), "doc_id").join(reps.select("doc_id", "n_shingles", "low"), "doc_id")
+    sizes = here.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    main = sizes.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("hub", "main")
+    sides = sizes.join(main, "hub").withColumn("side", F.when(F.col("comp") == F.col("main"), "m").otherwise("o"))
+    parts = sides.groupBy("hub").agg(*(heap_of.alias(n) for n, heap_of in (("mains", _heaps("m", block)), ("others", _heaps("o", block)))))
+    rows = here.join(main, "hub").join(parts, "hub").withColumn("side", F.when(F.col("comp") == F.col("main"), "m").otherwise("o"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == "m", F.col("mains")).otherwise(F.col("others"))))
+    rows = materialize(rows.select("hub", "doc_id", "comp", "n_shingles", "low", "side", "part", "others", "mains"))
+    rows = rows.join(test.texts, "doc_id")
+    cols = ["hub", "x", "y", "doc_id", "comp", "n_shingles", "low", "text"]
+    first = rows.where("side = 'o'").withColumn("x", F.col("part")).withColumn("y", F.explode(F.expr("sequence(-mains, others - 1)"))).where("y < 0 or y >= x").select(*cols)
+    own = rows.where("side = 'o'").withColumn("y", F.col("part")).withColumn("x", F.explode(F.expr("sequence(0L, part)"))).select(*cols)
+    other = rows.where("side = 'm'").withColumn("y", -F.col("part") - 1).withColumn("x", F.explode(F.expr("sequence(0L, others - 1)"))).select(*cols)
+    count, bits, floor, size, percent = test.count, test.bits, test.floor, test.size, test.percent
 
     def cell(xs: pa.Table, ys: pa.Table) -> pa.Table:
-        ia, ib = xs.column("doc_id").to_numpy(), ys.column("doc_id").to_numpy()
-        ca, cb = xs.column("comp").to_numpy(), ys.column("comp").to_numpy()
-        out_a, out_b = [], []
-        if len(ia) and len(ib):
+        out_a: list[int] = []
+        out_b: list[int] = []
+        if xs.num_rows and ys.num_rows:
+            (ia, ca, na), (ib, cb, nb) = ([t.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles")] for t in (xs, ys))
             la, lb = (np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (xs, ys))
+            maybe = np.zeros((len(ia), len(ib)), bool)
             for i in range(len(ia)):
-                hit = np.nonzero((estimate(la[i][None, :], lb, count, bits) >= floor) & (cb != ca[i]))[0]
-                out_a.append(np.minimum(ia[i], ib[hit]))
-                out_b.append(np.maximum(ia[i], ib[hit]))
-        join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(join(out_a), pa.int64()), "b": pa.array(join(out_b), pa.int64())})
-
-    key = ["key", "x", "y"]
-    return first.groupBy(*key).cogroup(own.union(main_).groupBy(*key)).applyInArrow(cell, "a long, b long").distinct()
+                fits = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
+                maybe[i] = fits & (estimate(la[i][None, :], lb, count, bits) >= floor)
+            rx, ry = np.nonzero(maybe.any(1))[0], np.nonzero(maybe.any(0))[0]
+            if len(rx):
+                sets = [[shingles(t, size) for t in table.column("text").take(pa.array(r)).to_pylist()] for table, r in ((xs, rx), (ys, ry))]
+                both = intersections(*sets).astype(np.int64)
+                union = na[rx][:, None] + nb[ry][None, :] - both
+                hit = maybe[np.ix_(rx, ry)] & (100 * both >= percent * union)
+                for i in np.nonzero(hit.any(1))[0]:
+                    js = ry[np.nonzero(hit[i])[0]]
+                    _, once = np.unique(cb[js], return_index=True)
+                    out_a += [int(ia[rx[i]])] * len(once)
+                    out_b += ib[js[once]].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    key = ["hub", "x", "y"]
+    left, right = first.toDF(*(f"{c}_" for c in cols)).toDF(*cols), own.unionByName(other)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, "a long, b long")
+
+
+def _heaps(side: str, block: int) -> Column:
+    n, s = F.sum(F.when(F.col("side") == side, F.col("n"))), F.sum(F.when(F.col("side") == side, F.col("s")))
+    return F.greatest(F.ceil(n / block), F.ceil(s / (1000 * block))).cast("long")
