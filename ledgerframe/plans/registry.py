@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, content_hash, hash_json, row_hash, sha256_text
+from ..functions.lineage import settle
 from ..operators import contracts as contract_ops
 from ..operators import drift as drift_ops
 from ..operators import lineage as lineage_ops
@@ -168,13 +169,13 @@ class Registry:
         return self.tables.read("records").where(F.col("version_id") == version_id).select("version_id", "row_index", "record")
 
     def profile(self, version_ids: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """Table and field profiles (version_id key) of stored versions."""
+        """Table and field profiles (version_id key) of stored versions, computed once."""
         ids = self.spark.createDataFrame([(v,) for v in version_ids], "version_id string")
         rows = self.tables.read("records").where(F.col("version_id").isin(*version_ids)).select("version_id", "row_index", "record")
         folded = rows.groupBy("version_id", "record").agg(F.count("*").alias("n")).groupBy("version_id").agg(F.sum("n").alias("rows"), F.count("*").alias("unique_rows"))
         tables = ids.join(folded, "version_id", "left").fillna(0, ["rows", "unique_rows"])
         tables = tables.withColumn("duplicate_rows", F.col("rows") - F.col("unique_rows")).withColumn("duplicate_rate", F.try_divide(F.col("duplicate_rows").cast("double"), F.col("rows")))
-        return tables, cell_profile(rows, cells(rows, ["version_id"]), ["version_id"])
+        return settle(tables), settle(cell_profile(rows, cells(rows, ["version_id"]), ["version_id"]))
 
     # Quality
 

@@ -64,9 +64,10 @@ VY_ROW = ["o_orderstatus", "cust10", "o_orderdate"]
 
 
 def _profiles(spark: SparkSession, sf: str, unique: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all versions, computed once: they are small, and each comparison reads them several times."""
     vy = _vy(spark, sf)
     tables = table_profile(vy.select("version_id", *VY_ROW), ["version_id"])
-    return tables, field_profile(vy, ["version_id"], VY_FIELDS, unique)
+    return settle(tables), settle(field_profile(vy, ["version_id"], VY_FIELDS, unique))
 
 
 def _declared_orders():
