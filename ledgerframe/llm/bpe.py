@@ -84,7 +84,7 @@ class SegmentEncoder:
     time and never changes a result.
     """
 
-    def __init__(self, definition: str, split: Callable[[str], list[str] | None] | None = None, limit: int = 600_000):
+    def __init__(self, definition: str, split: Callable[[str], list[str] | None] | None = None, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)

@@ -36,11 +36,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def process_cache(key: object, build: Callable[[], object]) -> object:
-    """A value built once per Python worker process, whatever copy of this function asks for it."""
+def process_cache(key: object, build: Callable[[], object], keep: int = 2) -> object:
+    """A value built once per Python worker process, whatever copy of this function asks for it.
+
+    A worker outlives its stage, so only the ``keep`` values asked for last stay.
+    """
     store = sys.__dict__.setdefault("_ledgerframe_cache", {})
-    if key not in store:
-        store[key] = build()
+    if key in store:
+        store[key] = store.pop(key)
+        return store[key]
+    while len(store) >= keep:
+        del store[next(iter(store))]
+    store[key] = build()
     return store[key]
 
 

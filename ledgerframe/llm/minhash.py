@@ -40,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered; the memory is dropped past ``limit`` words."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 300_000):
         self.known, self.limit = {}, limit
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

@@ -89,7 +89,7 @@ class TextConvNet:
 class Kinds:
     """Numbers the sets of known hashes that words have; kind 0 is a word without any. Words are remembered up to ``limit``."""
 
-    def __init__(self, index: dict[int, int], limit: int = 500_000):
+    def __init__(self, index: dict[int, int], limit: int = 200_000):
         self.index, self.limit, self.of_word, self.of_set, self.sets = index, limit, {}, {(): 0}, [()]
 
     def rows(self, words: list[bytes]) -> np.ndarray:
