@@ -27,13 +27,14 @@ BLOCK = _set("address article aside blockquote body caption center dd details di
 CLOSES_P = BLOCK - _set("body caption dd dt html legend li optgroup option tbody td tfoot th thead tr") | {"table"}
 CLOSES = {"li": (_set("li"), _set("ul ol menu dir")), "dt": (_set("dt dd"), _set("dl")), "dd": (_set("dt dd"), _set("dl")), "option": (_set("option"), _set("select")), "tr": (_set("tr td th"), _set("table")), "td": (_set("td th"), _set("tr table")), "th": (_set("td th"), _set("tr table")), "tbody": (_set("tbody thead tfoot tr td th"), _set("table")), "tfoot": (_set("tbody thead tfoot tr td th"), _set("table"))}
 P, P_SCOPE = _set("p"), _set("article aside body blockquote button caption div html section table td th")
-NOISE_TAGS = _set("nav footer aside form button select input label dialog menu object audio video canvas map search head datalist")
+NOISE_TAGS = _set("nav footer aside button select input label dialog menu object audio video canvas map search head datalist")
 NOISE_ROLES = _set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status")
 NOISE_NAMES = _set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted sidebar aside comment comments commentlist disqus reply replies respond discussion "
     "cookie cookies consent gdpr notice notices notification notifications alert alerts newsletter subscribe subscription signup signin login register share sharing shares social related recommended recommendations recommend "
     "breadcrumb breadcrumbs menu menus nav navbar navigation navi footer foot popup modal overlay lightbox toolbar pagination pager paging search searchbox skip banner banners widget widgets paywall toc hidden copyright trending"
 )
+READER_NAMES = _set("comment comments commentlist disqus reply replies respond discussion")
 HEAD_NAMES = _set("header masthead topbar")
 GOOD_NAMES = _set("article content post entry story main body text blog page")
 CONTAINERS = _set("article main section div td body blockquote center")
@@ -47,6 +48,9 @@ class Node:
     noise: bool
     good: bool
     path: str
+    marked: bool = False  # by a name or as a form: noise unless it holds the article
+    reader: bool = False
+    main: bool = False
     score: float = 0.0
     parts: list = field(default_factory=list)  # text, or index of a child
     heading: bool = False
@@ -123,19 +127,69 @@ def parse(page: str) -> list[Node]:
         names = tuple(x for x in re.split(r"[^a-z]+", own) if x)
         above = nodes[stack[-1]]
         role = attrs.get("role", "").lower()
-        noise = above.noise or tag in NOISE_TAGS or role in NOISE_ROLES or (tag not in ("html", "body") and (not NOISE_NAMES.isdisjoint(names) or _hidden(attrs)))
+        noise = above.noise or tag in NOISE_TAGS or role in NOISE_ROLES or (tag not in ("html", "body") and _hidden(attrs))
+        marked = tag == "form" or (tag not in ("html", "body") and not NOISE_NAMES.isdisjoint(names))
         head = tag == "header" or not HEAD_NAMES.isdisjoint(names)
-        good = tag in ("article", "main") or role in ("main", "article") or not GOOD_NAMES.isdisjoint(names)
+        main = tag in ("article", "main") or role in ("main", "article")
+        good = main or not GOOD_NAMES.isdisjoint(names)
         path = above.path if tag == "html" else f"{above.path}>{_step(tag, attrs.get('class', ''))}"
-        nodes.append(Node(tag, ("#head",) if head else (), stack[-1], noise, good, path))
+        nodes.append(Node(tag, ("#head",) if head else (), stack[-1], noise, good, path, marked, not READER_NAMES.isdisjoint(names), main))
         above.parts.append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
         if tag in ("h1", "h2"):
             for i in stack:
                 nodes[i].heading = True
+    _settle_marks(nodes)
     return nodes
 
 
+def _settle_marks(nodes: list[Node]) -> None:
+    """Marked elements become noise, with all below them, unless they are or hold the article.
+
+    They do where they are or hold an article or main element or the h1; of several, those under the fewest marks count.
+    An article among readers' comments, or under a mark with the h1 elsewhere, counts only with more than half of the page's text outside
+    links, so that comments and teasers in articles of their own stay noise. Marked elements also stay with more than half of that text, or
+    more than nine tenths where they are readers' comments or an article or main element lies elsewhere.
+    """
+    if not any(n.marked and not n.noise for n in nodes):
+        return
+    count = len(nodes)
+    marks, size = [0] * count, [0] * count
+    link, header, reader, holds_title, inside = ([False] * count for _ in range(5))
+    for i, node in enumerate(nodes):
+        if i:
+            up = node.parent
+            marks[i] = marks[up] + node.marked
+            link[i] = link[up] or node.tag == "a"
+            header[i] = (header[up] or "#head" in node.names) and not node.main
+            reader[i] = reader[up] or node.reader
+        if not (node.noise or link[i]):
+            size[i] = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+    for i in range(count - 1, 0, -1):
+        size[nodes[i].parent] += size[i]
+    titles = [i for i, n in enumerate(nodes) if n.tag == "h1" and not (n.noise or header[i] or reader[i] and 2 * size[n.parent] <= size[0])]
+    for i in titles:
+        while i >= 0 and not holds_title[i]:
+            holds_title[i] = True
+            i = nodes[i].parent
+    mains = [i for i, n in enumerate(nodes) if n.main and not n.noise and (n.tag == "main" or 2 * size[i] > size[0] or not reader[i] and (not marks[i] or holds_title[i] or not titles))]
+    holds = [False] * count
+    for found in (mains, titles):
+        fewest = min((marks[i] for i in found), default=0)
+        for i in found:
+            if marks[i] == fewest:
+                inside[i] = inside[i] or found is mains
+                while i >= 0 and not holds[i]:
+                    holds[i] = True
+                    i = nodes[i].parent
+    for i, node in enumerate(nodes[1:], 1):
+        inside[i] = inside[i] or inside[node.parent]
+        if node.marked and not holds[i]:
+            share = 0.9 if node.reader or (mains and not inside[i]) else 0.5
+            node.noise = node.noise or size[i] <= share * size[0]
+        node.noise = node.noise or nodes[node.parent].noise
+
+
 def _dropped(node: Node) -> bool:
     """Noise, and headers that don't hold the article's heading."""
     return node.noise or ("#head" in node.names and not node.heading)

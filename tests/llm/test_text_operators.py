@@ -78,6 +78,24 @@ def test_markup_of_all_kinds():
     assert ex("<div>" * 3000 + "deep") == "deep" and ex("a < b") == "a < b" and ex("<p>open <b unclosed=\"x>") != ""
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<div class="content with-sidebar"><article>', "</article></div>"), ('<main class="menu-open">', "</main>"), ('<article class="has-comments">', "</article>"),
+    ('<form action="x.aspx"><div id="page">', "</div></form>"), ('<form><div class="share-layout">', "</div></form>"), ('<form><div class="widget"><main>', "</main></div></form>"),
+])
+def test_marked_wrappers_keep_the_article(before, after):
+    beside = '<div class="sidebar"><p>Other pages of interest</p></div><div id="comments"><article class="comment"><p>First!</p></article></div><form>Search <input></form>'
+    for title, want in (("<h1>Title</h1>", "Title\n"), ("", "")):
+        text = f"<body><nav><a href=/>Home</a></nav>{before}{title}<p>{'word ' * 40}</p><p>End.</p>{beside}{after}{beside}</body>"
+        assert htmltext.extract(text, None) == want + "word " * 39 + "word\nEnd."
+
+
+def test_large_marked_parts_beside_the_article_stay_noise():
+    text = f"<body><div class=post><h1>T</h1><p>{'word ' * 40}</p></div><div id=comments><p>{'talk ' * 90}</p></div><div class=modal><h1>Sign in</h1></div></body>"
+    assert htmltext.extract(text, None) == "T\n" + "word " * 39 + "word"
+    text = f"<body><article><h1>T</h1><p>{'word ' * 40}</p></article><div class=related><article><p>{'talk ' * 90}</p></article></div></body>"
+    assert htmltext.extract(text, None) == "T\n" + "word " * 39 + "word"
+
+
 def test_host_consensus_beats_one_page():
     # The page's own text is too short to win, the host's path still finds it.
     assert htmltext.extract("<body><div class=big><p>" + "side " * 50 + "</div><div class=post><p>Short.</div>", ">body>div.post") == "Short."
