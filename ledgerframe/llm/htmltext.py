@@ -1,7 +1,7 @@
 """Main text of web pages by host consensus.
 
-Every page's containers are scored by the paragraph text they hold; the best one's generalised path (tags with
-classes, numbers masked) is the page's vote. Votes are counted per host in Spark, and every page is then extracted
+Every page's containers are scored by the paragraph text they hold; from the best one the search climbs to the whole
+article, whose generalised path (tags with classes, numbers masked) is the page's vote. Votes are counted per host in Spark, and every page is then extracted
 again at its host's winning path, or at its own best container where that path isn't there.
 """
 
@@ -230,7 +230,7 @@ def blocks(nodes: list[Node], top: int) -> list[str]:
 
 
 def score(nodes: list[Node]) -> int:
-    """Score all containers; the best one's number, or 0 where no container holds text.
+    """Score all containers; the number of the article around the best one, or 0 where no container holds text or the article is the whole page.
 
     A text block counts for its nearest container in full and for the next one by half, less the text of links; names and tags usual for
     articles add half again.
@@ -255,7 +255,51 @@ def score(nodes: list[Node]) -> int:
         for c, share in zip(chain, (1.0, 0.5)):
             c.score += size * share
     best = max(range(len(nodes)), key=lambda k: (nodes[k].score * (1.5 if nodes[k].good else 1.0), -k))
-    return best if nodes[best].score > 0 else 0
+    return _whole(nodes, best) if nodes[best].score > 0 else 0
+
+
+def _whole(nodes: list[Node], best: int) -> int:
+    """The nearest article or main element around a container, else its last ancestor whose further text still belongs to it.
+
+    Further text lies outside links and noise. It belongs where it stands in the ancestor itself (a heading, a tenth of what is found or more, or
+    any where the ancestor has a usual name) or in sections or elements of the same kind, and other containers hold at most a quarter
+    of what is found. To the body it climbs only for a heading, and beside no other container. Columns of a table are never joined.
+    """
+    for i in (best, *_above(nodes, best)):
+        if nodes[i].main:
+            return i
+    size, direct = [0] * len(nodes), [0] * len(nodes)
+    out, title = [False] * len(nodes), [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        out[i] = (i > 0 and out[node.parent]) or _dropped(node) or node.tag == "a"
+        if not out[i]:
+            size[i] = direct[i] = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+    for i in range(len(nodes) - 1, 0, -1):
+        node = nodes[i]
+        size[node.parent] += size[i]
+        if node.tag not in CONTAINERS or node.tag == "blockquote":
+            direct[node.parent] += direct[i]
+            title[i] = title[i] or (node.tag in ("h1", "h2") and direct[i] > 0)
+            title[node.parent] = title[node.parent] or title[i]
+    found, branch, near, same, other, headed = best, best, 0, 0, 0, False
+    for i in _above(nodes, best):
+        node, under = nodes[i], nodes[branch]
+        joined = under.tag not in CONTAINERS or under.tag == "blockquote"
+        kin = [k for k in node.parts if not isinstance(k, str) and k != branch]
+        here = direct[i] - (direct[branch] if joined else 0)
+        alike = sum(size[k] for k in kin if nodes[k].tag == "section" or (under.tag == "div" and nodes[k].path == under.path))
+        beside = size[i] - size[branch] - here - alike
+        headed = headed or any(title[k] for k in kin)
+        if under.tag in ("td", "th") and any(size[k] for k in kin):
+            break
+        near, same, other, branch = near + here, same + alike, other + beside, i
+        if node.tag in ("#root", "html", "body"):
+            belongs = headed and other == 0
+        else:
+            belongs = node.tag in BLOCK and 4 * other <= size[found] and (same > 0 or near > 0 and (headed or node.good or 10 * near >= size[found]))
+        if belongs:
+            found, near, same, other, headed = i, 0, 0, 0, False
+    return found
 
 
 def vote_of(page: str | None) -> tuple[str, float] | None:

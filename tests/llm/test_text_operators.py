@@ -96,6 +96,34 @@ def test_large_marked_parts_beside_the_article_stay_noise():
     assert htmltext.extract(text, None) == "T\n" + "word " * 39 + "word"
 
 
+NESTED = [
+    "<article><h1>T</h1><p>{lead}</p><section><p>{long}</p></section></article>",
+    "<article><h1>T</h1><p>{lead}</p><section class='body content'><p>{long}</p></section></article>",
+    "<article><h1>T</h1><p>{lead}</p><div><section><div class=text><p>{long}</p></div></section></div></article>",
+    "<main><h1>T</h1><p>{lead}</p><div><div><div><p>{long}</p></div></div></div></main>",
+    "<div class=post><h1>T</h1><p>{lead}</p><div class=text><p>{long}</p></div></div>",
+    "<div class=x><h1>T</h1><div class=y><p>{lead}</p><div><p>{long}</p></div></div></div>",
+    "<h1>T</h1><p>{lead}</p><div class=text><p>{long}</p></div>",
+]
+
+
+@pytest.mark.parametrize("form", NESTED)
+def test_nested_sections_keep_heading_and_lead(spark, form):
+    fill = {"lead": "lead " * 19 + "end", "long": "word " * 179 + "end"}
+    text = f"<html><body><nav><a href=/>Home</a></nav>{form.format(**fill)}<footer>us</footer></body></html>"
+    assert htmltext.extract(text, None) == f"T\n{fill['lead']}\n{fill['long']}"
+    rows = [(i, f"http://h.example/{i}", text) for i in range(3)]
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"T\n{fill['lead']}\n{fill['long']}"}
+
+
+def test_other_parts_beside_the_article_stay_out():
+    long = "word " * 179 + "end"
+    for form in ("<div class=wrap><div class=post><p>{0}</p></div><div class=x><p>{1}</p></div></div>", "<table><tr><td><p>{1}</p><td><h1>T</h1><p>{0}</p></table>", "<div class=post><p>{0}</p></div><p>{1}</p>"):
+        text = htmltext.extract(f"<body>{form.format(long, 'other ' * 20)}</body>", None)
+        assert "other" not in text and long in text
+
+
 def test_host_consensus_beats_one_page():
     # The page's own text is too short to win, the host's path still finds it.
     assert htmltext.extract("<body><div class=big><p>" + "side " * 50 + "</div><div class=post><p>Short.</div>", ">body>div.post") == "Short."
