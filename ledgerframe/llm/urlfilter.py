@@ -3,12 +3,14 @@
 A list is a log of dated entries: on a date a host, or a host and path prefix, is added or removed. Its
 entries become validity intervals ``[from, to)``; a capture is judged by the
 entries active at its fetch time: an as-of join. Each URL has few possible keys (its host, the host's
-parent domains, and the host with each path prefix of bounded depth), so the join is an equi-join on keys with
+parent domains, and the host with each path prefix of a depth that the list has), so the join is an equi-join on keys with
 a time condition, never a scan of the list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals of each (list, pattern): valid_from, valid_to (null: still valid).
 
     Entries of one day: a removal wins over an addition. Additions while valid and removals while
-    not valid change nothing. Entries with a null list, pattern, day or unknown action are void.
+    not valid change nothing. Entries with a null list, pattern, day or unknown action are void. Hosts are taken in lower case,
+    paths as they are written.
     """
     day = entries.where("list is not null and pattern is not null and day is not null and action in ('add', 'remove')")
-    day = day.groupBy("list", F.lower("pattern").alias("pattern"), "day").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("off"))
+    pattern = F.concat(F.lower(F.regexp_extract("pattern", r"^[^/]*", 0)), F.regexp_extract("pattern", r"(?s)^[^/]*(.*)", 1))
+    day = day.groupBy("list", pattern.alias("pattern"), "day").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("off"))
     order = Window.partitionBy("list", "pattern").orderBy("day")
     change = day.withColumn("was", F.lag("off").over(order)).where("was is null and off = 0 or off <> was")
     ends = change.withColumn("valid_to", F.lead("day").over(order)).where("off = 0")
@@ -57,28 +61,29 @@ def _parts(url: Column) -> tuple[Column, Column]:
     return F.regexp_replace(host, r"\.$", ""), F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/+$", "")
 
 
-def keys_of(url: Column, depth: int = 3) -> Column:
-    """All patterns that can match a URL: host suffixes, and the host with its first ``depth`` path steps."""
+def keys_of(url: Column, depths: Sequence[int]) -> Column:
+    """All patterns that can match a URL: host suffixes, and the host with its first path steps, as many as each of ``depths``."""
     host, path = _parts(url)
     labels, steps = F.split(host, r"\."), F.split(path, "/")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    last = F.least(F.size(steps), F.lit(depth + 1))
-    paths = F.when(last >= 2, F.transform(F.sequence(F.lit(2), last), lambda i: F.concat(host, F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    fits = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda d: d < F.size(steps))
+    paths = F.transform(fits, lambda d: F.concat(host, F.array_join(F.slice(steps, 1, d + 1), "/")))
     return F.when(F.length(host) > 0, F.array_distinct(F.concat(hosts, paths))).otherwise(F.array().cast("array<string>"))
 
 
-def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", depth: int = 3) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """Every capture with the lists active against it at its fetch day: id, blocked, lists, patterns.
 
     Keys are matched on distinct (url, day) pairs, so a page captured often, or a host with a third of all rows,
-    costs one look-up a distinct pair. The intervals are broadcast only up to
+    costs one look-up a distinct pair. Path prefixes are tried at all depths that patterns have. The intervals are broadcast only up to
     ``BROADCAST_ROWS`` rows (counted); beyond, the join shuffles on the key. Null or unparsable
     URLs and null times are kept and never blocked. Repeated ids give a row each.
     """
     spans = intervals(entries)
-    small = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    seen = spans.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.size(F.split("pattern", "/")) - 1)).alias("depths")).first()
+    small, depths = seen.n <= BROADCAST_ROWS, [d for d in seen.depths if d]
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.to_date(time_col).alias("day"))
-    keyed = rows.select("url", "day").where("url is not null and day is not null").distinct().withColumn("pattern", F.explode(keys_of(F.col("url"), depth)))
+    keyed = rows.select("url", "day").where("url is not null and day is not null").distinct().withColumn("pattern", F.explode(keys_of(F.col("url"), depths)))
     hit = keyed.join(F.broadcast(spans) if small else spans, "pattern").where("day >= valid_from and (valid_to is null or day < valid_to)")
     found = hit.groupBy("url", "day").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("pattern")).alias("patterns"))
     out = rows.join(found, ["url", "day"], "left")

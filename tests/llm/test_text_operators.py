@@ -151,3 +151,21 @@ def test_captures_are_judged_as_of_their_day(spark, monkeypatch, limit):
         if day and url == urls[3]:
             on.append("y")
         assert (got[key].blocked, got[key].lists) == (bool(on), ",".join(on)), (url, day)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_deep_and_upper_case_paths_block(spark, monkeypatch, limit):
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", limit)
+    day = dt.date(2024, 1, 1)
+    deep = "Deep.example/" + "/".join("abcdefghij")
+    entries = spark.createDataFrame([("d", deep, "add", day), ("d", "mid.example/a/b/c/d", "add", day), ("u", "Example.COM/Ads", "add", day)], urlfilter.ENTRY_SCHEMA)
+    want = {
+        "http://deep.example/a/b/c/d/e/f/g/h/i/j": "d", "http://DEEP.example/a/b/c/d/e/f/g/h/i/j/k/?q": "d", "http://deep.example/a/b/c/d/e/f/g/h/i": "",
+        "http://mid.example/a/b/c/d/e": "d", "http://mid.example/a/b/c/dd": "", "http://example.com/Ads/x": "u", "http://example.com/ads/x": "", "http://example.com/Ads": "u", "http://example.com/": "",
+    }
+    got = urlfilter.judge(spark.createDataFrame([(i, u, day) for i, u in enumerate(want)], "page_id long, url string, fetched date"), entries).orderBy("page_id").collect()
+    assert [(r.blocked, r.lists) for r in got] == [(bool(v), v) for v in want.values()]
+    assert {r.patterns for r in got} == {"", "deep.example/a/b/c/d/e/f/g/h/i/j", "mid.example/a/b/c/d", "example.com/Ads"}
+    hosts = spark.createDataFrame([("x", "example.com", "add", day)], urlfilter.ENTRY_SCHEMA)
+    assert urlfilter.judge(spark.createDataFrame([(1, "http://a.example.com/x/y", day)], "page_id long, url string, fetched date"), hosts).first().lists == "x"
+    assert not urlfilter.judge(spark.createDataFrame([(1, "http://a.example.com/x/y", day)], "page_id long, url string, fetched date"), hosts.limit(0)).first().blocked
