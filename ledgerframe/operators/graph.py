@@ -6,8 +6,12 @@ then a checkpoint. All roots advance together. The bounds are those of the graph
 
 from __future__ import annotations
 
-from collections import defaultdict
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,41 +82,72 @@ def has_cycle(edges: DataFrame) -> bool:
     return not cyclic_core(edges).isEmpty()
 
 
-def dfs_cycles(edges: DataFrame, max_edges: int = 200_000) -> list[list]:
-    """The cycles closed by back edges of a depth-first search over sorted nodes and neighbours, each from its smallest node.
+def cycles(edges: DataFrame) -> DataFrame:
+    """cycle: the cycles closed by back edges of a depth-first search over sorted nodes and neighbours, each from its smallest node.
 
-    Only the cyclic core is brought to the driver, which a depth-first order needs; ValueError beyond ``max_edges`` edges.
+    The order of the search is sequential, so one task walks the cyclic core. Spark sorts its edges, spilling where it must; the
+    task holds each node once and four bytes an edge while it walks, and cycles leave it in batches. There is no limit on edges.
     """
-    rows = cyclic_core(edges.select("src", "dst").distinct()).limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges lead to cycles")
-    out: dict = defaultdict(list)
-    for r in rows:
-        out[r["src"]].append(r["dst"])
-    found, state = set(), {}
-    for start in sorted(out):
-        if start in state:
+    kind = edges.schema["src"].dataType.simpleString()
+    core = cyclic_core(edges.select("src", F.col("dst").cast(kind).alias("dst")).where("src is not null and dst is not null").distinct())
+    return settle(core.repartition(1).sortWithinPartitions("src", "dst").mapInArrow(_walk, f"cycle array<{kind}>"))
+
+
+def _walk(batches: Iterator[pa.RecordBatch], flush: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Cycles of a graph whose edges come sorted by (src, dst) and whose nodes all have out-edges."""
+    whole = list(batches)
+    if not sum(b.num_rows for b in whole):
+        return
+    table = pa.Table.from_batches(whole)
+    del whole
+    kind = table.schema.field("src").type
+    wide = pa.large_string() if pa.types.is_string(kind) else kind
+    names = pc.unique(table["src"].cast(wide))
+    ends, to = (pc.index_in(table[c].cast(wide), value_set=names).to_numpy().astype(np.int32) for c in ("src", "dst"))
+    del table
+    n = len(names)
+    stop = np.bincount(ends, minlength=n).cumsum()
+    nxt_edge, stop, to = array("q", np.concatenate(([0], stop[:-1])).astype(np.int64).tobytes()), array("q", stop.astype(np.int64).tobytes()), array("i", to.tobytes())
+    state, at = bytearray(n), array("q", bytes(8 * n))  # 1: on the trail, 2: done
+    rings: list[np.ndarray] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in rings]))).astype(np.int32)
+        flat = names.take(pa.array(np.concatenate(rings))).cast(kind)
+        rings.clear()
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["cycle"])
+
+    for start in range(n):
+        if state[start]:
             continue
-        trail, at, todo = [start], {start: 0}, [iter(sorted(out[start]))]
-        state[start] = "open"
+        trail, state[start], at[start] = array("i", [start]), 1, 0
         while trail:
-            for nxt in todo[-1]:
-                if state.get(nxt) == "open":
-                    ring = trail[at[nxt] :]
-                    low = ring.index(min(ring))
-                    found.add((*ring[low:], *ring[: low + 1]))
-                elif nxt not in state:
-                    state[nxt] = "open"
-                    at[nxt] = len(trail)
-                    trail.append(nxt)
-                    todo.append(iter(sorted(out.get(nxt, ()))))
-                    break
-            else:
-                done = trail.pop()
-                todo.pop()
-                del at[done]
-                state[done] = "closed"
-    return [list(c) for c in sorted(found)]
+            node = trail[-1]
+            k = nxt_edge[node]
+            if k == stop[node]:
+                state[trail.pop()] = 2
+                continue
+            nxt_edge[node] = k + 1
+            nxt = to[k]
+            if not state[nxt]:
+                state[nxt], at[nxt] = 1, len(trail)
+                trail.append(nxt)
+            elif state[nxt] == 1:
+                ring = np.array(trail[at[nxt] :], np.int32)
+                ring = np.roll(ring, -int(ring.argmin()))
+                rings.append(np.append(ring, ring[0]))
+                held += len(ring)
+                if held >= flush:
+                    held = 0
+                    yield out()
+    if rings:
+        yield out()
+
+
+def dfs_cycles(edges: DataFrame) -> list[list]:
+    """The rows of ``cycles`` in order, on the driver: for graphs whose cycles fit there."""
+    return sorted(list(r["cycle"]) for r in cycles(edges).collect())
 
 
 def simple_paths(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -51,8 +51,8 @@ def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def _cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in graph.dfs_cycles(edges)], "cycle array<string>")
+def _cycles(edges: DataFrame) -> DataFrame:
+    return graph.cycles(edges)
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
@@ -92,7 +92,7 @@ def impact_report(versions: DataFrame, links: DataFrame, version_id: str, max_de
     affected = settle(affected.join(status.select("version_id", F.col("status").alias("compliance")), "version_id", "left").withColumn("compliance", F.coalesce("compliance", F.lit("NOT_AVAILABLE"))))
     orphans = found.join(known, "node", "left_anti").select(F.col("node").alias("version_id"), "depth")
     datasets = affected.groupBy("dataset_id").agg(F.count("*").alias("affected_version_count"), F.min("depth").alias("min_depth"))
-    cycles = _cycles(spark, _within(edges, found.select("node").union(_seeds(spark, [version_id]).select("node"))))
+    cycles = _cycles(_within(edges, found.select("node").union(_seeds(spark, [version_id]).select("node"))))
     whole = affected.agg(F.count("*").alias("affected_version_count"), F.countDistinct("dataset_id").alias("affected_dataset_count"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth_reached"))
     summary = _row(whole, _count(cycles, "cycle_count"), _count(orphans, "orphan_count"))
     q = verdict((F.col("cycle_count") > 0, "CYCLE_DETECTED"), (F.col("affected_version_count") == 0, "ISOLATED"), (F.col("affected_version_count") >= PROPAGATED_VERSIONS, "PROPAGATED"), otherwise="CONTAINED")
@@ -138,7 +138,7 @@ def provenance_closure(versions, datasets, sources, contents, links, requested:
     missing = settle(missing.unionByName(up.join(known.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*_issue("upstream_version_missing", "dataset_version", F.col("src"), F.col("dst")))))
     involved = links.join(closure.withColumnRenamed("node", "downstream_version_id"), "downstream_version_id", "left_semi")
     integrity = _integrity(versions, datasets, sources, contents, involved, closure)
-    cycles = _cycles(spark, _within(edges, closure))
+    cycles = _cycles(_within(edges, closure))
     unused = settle(versions.join(mine.select("dataset_id"), "dataset_id", "left_semi").select(F.col("version_id").alias("node")).join(closure, "node", "left_anti"))
     parts = graph.components(_within(edges, closure).select("src", "dst"), closure)
     requested_here = asked.select("node").join(parts, "node")
@@ -203,7 +203,7 @@ def impact_dossier(versions, datasets, sources, contents, links, version_ids: Se
     orphans = settle(orphans)
     involved = links.join(nodes.withColumnRenamed("node", "upstream_version_id"), "upstream_version_id", "left_semi")
     integrity = _integrity(versions, datasets, sources, contents, involved, nodes)
-    cycles = _cycles(spark, _within(edges, nodes))
+    cycles = _cycles(_within(edges, nodes))
     worst = affected.orderBy(F.desc("depth"), "version_path").limit(1)
     empty = chosen.join(versions, "dataset_id", "left_anti").select(F.concat(F.lit("dataset_without_versions:"), "dataset_id").alias("r"))
     summary = _row(
@@ -267,7 +267,7 @@ def lineage_evolution(versions, datasets, sources, contents, links, version_ids:
     states = states.join(orphan.groupBy("root").agg(F.array_sort(F.collect_set("o")).alias("orphans")), "root", "left").join(broken.groupBy("root").agg(F.array_sort(F.collect_set("b")).alias("breaks")), "root", "left")
     states = states.join(all_issues.select(F.col("version_id").alias("root"), F.col("issues").alias("root_issues")), "root", "left")
     states = settle(states.withColumns({c: F.coalesce(c, none) for c in ("downstream", "downstream_datasets", "orphans", "breaks", "root_issues")} | {"maximum_depth": F.coalesce("maximum_depth", F.lit(0))}).withColumn("proof_valid", F.size("root_issues") == 0))
-    cycles = _cycles(spark, _within(edges, found.select("node").distinct()))
+    cycles = _cycles(_within(edges, found.select("node").distinct()))
     changes = settle(transitions(states))
     whole = states.agg(F.count("*").alias("state_count"), F.max(F.size("downstream")).alias("_down"), F.max(F.size("orphans") + F.size("breaks")).alias("_signals"), F.array_sort(F.flatten(F.collect_list(F.transform("root_issues", lambda c: F.concat_ws(":", "root", c))))).alias("_proof"))
     sums = changes.agg(F.count("*").alias("transition_count"), *(F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(n) for c, n in (("added", "added_dependency_count"), ("removed", "removed_dependency_count"), ("new_breaks", "new_break_count"), ("new_orphans", "new_orphan_count"))))

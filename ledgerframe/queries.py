@@ -437,7 +437,7 @@ def cycle_exists(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cycle_list(spark: SparkSession, sf: str) -> DataFrame:
     """The back-edge cycles of the sorted depth-first search, which SQL can't express; tests hold it against a plain search."""
-    return spark.createDataFrame([("-".join(map(str, c)),) for c in G.dfs_cycles(_ve(spark, sf))], "cycle string")
+    return G.cycles(_ve(spark, sf)).select(F.array_join(F.col("cycle").cast("array<string>"), "-").alias("cycle"))
 
 
 @query(f"WITH RECURSIVE {GRAPH}, up AS (SELECT max(d) AS node FROM vd UNION SELECT e.u FROM up JOIN vd e ON e.d = up.node) SELECT node FROM up")

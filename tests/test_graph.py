@@ -1,6 +1,7 @@
 """Graph operators against plain Python on small graphs."""
 
 import random
+import zlib
 
 from ledgerframe.operators import graph as G
 
@@ -26,6 +27,48 @@ def test_cycles(spark):
     assert not G.has_cycle(frame(spark, [("a", "b"), ("a", "c"), ("b", "c")]))
 
 
+def plain_cycles(edges):
+    """A search with a stack of its own over sorted nodes and neighbours."""
+    out, found, state = {}, [], {}
+    for a, b in sorted(set(edges)):
+        out.setdefault(a, []).append(b)
+    for start in sorted(out):
+        if start in state:
+            continue
+        trail, todo = [start], [iter(out[start])]
+        state[start] = 0
+        while trail:
+            nxt = next(todo[-1], None)
+            if nxt is None:
+                state[trail.pop()] = None
+                todo.pop()
+            elif nxt not in state:
+                state[nxt] = len(trail)
+                trail.append(nxt)
+                todo.append(iter(out.get(nxt, ())))
+            elif state[nxt] is not None:
+                ring = trail[state[nxt] :]
+                low = ring.index(min(ring))
+                found.append(ring[low:] + ring[: low + 1])
+    return sorted(found)
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(7)
+    for nodes, n in ((6, 12), (30, 45), (60, 200)):
+        edges = [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(n)]
+        assert G.dfs_cycles(frame(spark, edges)) == plain_cycles(edges)
+    assert G.dfs_cycles(frame(spark, [("a", "b"), ("b", "c")])) == []
+
+
+def test_cycles_have_no_edge_limit(spark):
+    n = 105_000
+    e = spark.range(n).selectExpr("id src", "explode(array((7 * id + 3) % 105000, (3 * id + 1) % 105000)) dst").where("src <> dst")
+    want = plain_cycles([(k, d) for k in range(n) for d in ((7 * k + 3) % n, (3 * k + 1) % n) if d != k])
+    rows = G.cycles(e).selectExpr("size(cycle) n", "crc32(array_join(cast(cycle as array<string>), '-')) h").collect()
+    assert sorted((r.n, r.h) for r in rows) == sorted((len(c), zlib.crc32("-".join(map(str, c)).encode())) for c in want)
+
+
 def test_components_and_reach(spark):
     rng = random.Random(1)
     nodes = [f"n{i:02d}" for i in range(40)]
