@@ -39,9 +39,20 @@ def _kept(docs: DataFrame, scores, model, rule) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one with the smallest id; rows without an id stay."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each near-duplicate group, the one with the smallest id; rows without an id come last.
+
+    Every row is a document of its own, under a key written with the stage's input, whatever its id: repeated rows and rows without
+    an id fall into groups too, and of rows that share an id only copies go. Among equal ids the text's hash decides.
+    """
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = materialize(near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id"))
+    order = keyed.select(key, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), F.col(key).alias("key")).alias("order"))
+    first = found.join(order, key).groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.key").alias(key))
+    dropped = found.select(key).join(first, key, "left_anti")
+    return keyed.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,20 @@ def test_an_empty_table_goes_through(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, path)
         assert now.count() == 0
+
+
+def test_rows_are_told_apart_without_unique_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    a, b, c, d = map(text, "abcd")
+    rows = [
+        (1, a, "en", ""), (1, a, "en", ""),  # repeated row: one stays
+        (None, b, "en", ""), (None, b, "en", ""),  # copies without an id: one stays
+        (5, a, "en", ""), (5, c, "en", ""),  # one id, two texts: only the copy of a goes
+        (None, d, "en", ""), (9, d, "en", ""),  # the row with an id stays
+        (None, None, "en", ""), (None, None, "en", ""),  # no text: both stay
+    ]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = corpus_pipeline.dedup_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [rows[0], rows[2], rows[5], rows[7], rows[8], rows[9]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
