@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or a private one where that is unset (tests)."""
+    """Folder all executors share: ``spark.checkpoint.dir``. Where that is unset a private one serves a local master (tests); a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ledgerframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,11 +31,46 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write as Parquet under the shared folder and read back.
 
-    The table survives the loss of executors and is recomputed by nobody, unlike a cached one.
+    The table survives the loss of executors and is recomputed by nobody, unlike a cached one. An application's tables lie in one
+    folder of its own, which may be deleted when it has ended; ``release`` deletes one that no plan reads any more.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialize`` gave; other frames are left alone."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count: str = "n", how: str = "left", small: int = BROADCAST_ROWS, share: int = 1_000) -> DataFrame:
+    """Join a large table to one with a row per key, without one task for a key that holds a large part of the rows.
+
+    ``heads`` (written already) has the number of rows of every key in column ``count``, which the result hasn't. Up to ``small``
+    heads are broadcast. Beyond, keys with over a ``share``-th of all rows are: there are fewer than ``share`` of them; the rest
+    is joined by a shuffle in which no key has more. Null keys match nothing.
+    """
+    if heads.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(heads.drop(count)), keys, how)
+    most = heads.agg(F.sum(count)).first()[0] // share
+    hot, cold = heads.where(F.col(count) > most).drop(count), heads.where(F.col(count) <= most).drop(count)
+    full = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
+    first = full.join(F.broadcast(hot), keys)
+    rest = full.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how)
+    out = first.unionByName(rest)
+    if how == "left":
+        out = out.unionByName(rows.where(" or ".join(f"`{k}` is null" for k in keys)), allowMissingColumns=True)
+    return out
 
 
 def process_cache(key: object, build: Callable[[], object], keep: int = 2) -> object:
@@ -73,6 +110,22 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
     return df.mapInArrow(run, out)
 
 
+def scored(docs: DataFrame, score: Callable[[list], list[float]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in ``carry``, and the score of each text. Names of carried columns may be any, the score's gives way."""
+    keep = ["doc_id", *carry]
+    name = "score"
+    while name in keep:
+        name += "_"
+    inner = [f"c{i}" for i in range(len(keep))]
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        return {c: cols[c] for c in inner} | {"score": score(cols["text"])}
+
+    rows = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner)), F.col("text").alias("text"))
+    return map_arrow(rows, run, ", ".join(f"{i} {k}" for i, k in zip(inner, kinds)) + ", score double").toDF(*keep, name)
+
+
 def crc_of_id(col: Column) -> Column:
     """crc32 of an id written as text: the fold rule of the labelled tables."""
     return F.crc32(col.cast("string").cast("binary"))

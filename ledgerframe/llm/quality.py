@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_arrow
+from .common import crc_of_id, map_arrow, scored
 
 NAMES = (
     "log_bytes", "log_words", "log_lines", "mean_word", "max_word", "upper", "lower", "digit", "space", "symbol", "high", "stops",
@@ -157,14 +157,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int =
 def quality_scores(docs: DataFrame, forest: Forest, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and score (0 to 1, higher: better) of every whole text; null and empty texts are scored too.
 
-    ``carry`` names further columns of ``docs`` that pass through unchanged. Null and repeated ids give a row each.
+    Null and repeated ids give a row each. ``carry`` names further columns of ``docs`` that pass through unchanged; where one of
+    them is called score, the score's own name gets an underscore more.
     """
-    keep = ["doc_id", *carry]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        x = np.stack([statistics(t) for t in cols["_text"]])
-        return {c: cols[c] for c in keep} | {"score": forest.score(x).tolist()}
-
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double"
-    return map_arrow(docs.select(*keep, F.col("text").alias("_text")), run, schema)
+    return scored(docs, lambda texts: forest.score(np.stack([statistics(t) for t in texts])).tolist(), carry)

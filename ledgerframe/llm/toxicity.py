@@ -1,11 +1,13 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-Words (letters, digits and non-ASCII bytes; A-Z in lower case) have hashed embeddings: the sum over the
-word's own 32-bit hash and those of its beginnings, so that inflected forms share what is learnt of a stem.
-Only hashes that tell the training labels apart have an embedding; all others count as zero, so a word never
-seen in training can't collide with one that matters. Filters of several widths slide over the whole sequence; each keeps
-its maximum; a linear layer gives the margin. Decision thresholds are calibrated for each language, which is told from the text's
-own function words, and the margin is shifted so that the threshold of every language lies at the same score.
+Words (letters, digits and non-ASCII bytes; A-Z in lower case) have hashed embeddings: the sum over the word itself and
+its beginnings, so that inflected forms share what is learnt of a stem. Every word enters one table of fixed size. Each of its
+features has two rows there, under independent hashes, and counts with what the two agree on (the smaller
+value where the signs are the same, else zero), so a word that shares a row with another one by chance takes nothing from it. Rows
+start at what their documents' labels say, shrunk towards zero, and are trained on with the rest. Filters of several widths
+slide over the whole sequence; each keeps its maximum; a linear layer gives the margin. Decision thresholds are calibrated
+for each language, which is told from the text's own function words, and the margin is shifted so that the threshold of every
+language lies at the same score.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, process_cache
+from .common import materialize, process_cache, scored
 from .quality import labelled_sample
 
 # Frequent function words of the four languages.
@@ -42,8 +44,27 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def hashes_of(word: bytes) -> list[int]:
-    """Hashes of a word: its own, then those of its proper beginnings of 4 to 8 bytes."""
-    return [zlib.crc32(word), *(zlib.crc32(word[:k]) ^ 0x9E3779B9 for k in range(4, min(9, len(word))))]
+    """Hashes of a word's features: its own, then those of its proper beginnings of 4 to 10 bytes."""
+    return [zlib.crc32(word), *(zlib.crc32(word[:k]) ^ 0x9E3779B9 for k in range(4, min(11, len(word))))]
+
+
+def rows_of(hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two rows of each feature in a table of ``rows`` (a power of two)."""
+    bits = int(rows).bit_length() - 1
+    h = hashes.astype(np.uint64)
+    return (h & np.uint64(rows - 1)).astype(np.int64), ((h * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+
+
+def features_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all features of ``words``, one after the other, and how many each word has."""
+    found = list(map(hashes_of, words))
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((h for f in found for h in f), np.uint32, int(size.sum())), size
+
+
+def agreed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What two rows agree on: the smaller value where signs are the same, else zero."""
+    return np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0)
 
 
 def language_of(words: list[bytes]) -> int:
@@ -58,20 +79,45 @@ def language_of(words: list[bytes]) -> int:
 
 @dataclass
 class TextConvNet:
-    """Embeddings by hash, filters by width, linear layer, and what is taken off the margin by language."""
+    """The embedding table, filters by width, linear layer, and what is taken off the margin by language."""
 
-    index: dict[int, int]  # hash -> row of embed
-    embed: np.ndarray
+    table: np.ndarray
     filters: list[np.ndarray]  # of width w: (w, embedding size, filters)
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: float
     shift: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """Only rows that aren't zero travel."""
+        some = np.nonzero(self.table.any(1))[0]
+        return self.__dict__ | {"table": (self.table.shape, some, self.table[some])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, some, values = state["table"]
+        self.__dict__.update(state, table=np.zeros(shape, values.dtype))
+        self.table[some] = values
+
+    @property
+    def reach(self) -> int:
+        """The width of the widest filter."""
+        return max(map(len, self.filters))
+
+    def embed(self, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Embeddings of words given the hashes of their features, one word after the other."""
+        a, b = rows_of(hashes, len(self.table))
+        if not len(size):
+            return np.zeros((0, self.table.shape[1]), self.table.dtype)
+        return np.add.reduceat(agreed(self.table[a], self.table[b]), np.cumsum(size) - size, axis=0)
+
+    def project(self, embedded: np.ndarray) -> list[list[np.ndarray]]:
+        """Each filter position applied to each embedding, so a convolution is a sum of look-ups."""
+        return [[embedded @ w[j] for j in range(len(w))] for w in self.filters]
+
     def pooled(self, rows: np.ndarray, tables) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Maxima of all filters over the whole sequence (padded with unknown words), and where they are."""
+        """Maxima of all filters over the whole sequence (padded with words of embedding zero, number 0), and where they are."""
         top, where = [], []
-        padded = np.concatenate([rows, np.zeros(len(tables[-1]), np.int64)])
+        padded = np.concatenate([rows, np.zeros(self.reach, np.int64)])
         for table, b in zip(tables, self.bias):
             n = len(rows) + 1
             act = table[0][padded[:n]]
@@ -86,145 +132,151 @@ class TextConvNet:
         return float(np.maximum(self.pooled(rows, tables)[0], 0) @ self.out + self.out_bias)
 
 
-class Kinds:
-    """Numbers the sets of known hashes that words have; kind 0 is a word without any. Words are remembered up to ``limit``."""
-
-    def __init__(self, index: dict[int, int], limit: int = 200_000):
-        self.index, self.limit, self.of_word, self.of_set, self.sets = index, limit, {}, {(): 0}, [()]
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        known = self.of_word
-        for w in set(words).difference(known):
-            found = tuple(sorted({self.index[h] for h in hashes_of(w) if h in self.index}))
-            kind = self.of_set.setdefault(found, len(self.sets))
-            if kind == len(self.sets):
-                self.sets.append(found)
-            known[w] = kind
-        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        if len(known) > self.limit:
-            known.clear()
-        return out
-
-    def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        """(kind, embedding row) pairs of all kinds."""
-        return np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets]), np.array([r for s in self.sets for r in s], np.int64)
-
-
-def tables_of(net: TextConvNet, kinds: Kinds) -> list[list[np.ndarray]]:
-    """Each filter position applied to every kind of word, so a convolution is a sum of look-ups."""
-    kind, row = kinds.flat()
-    total = np.zeros((len(kinds.sets), net.embed.shape[1]))
-    np.add.at(total, kind, net.embed[row])
-    return [[total @ w[j] for j in range(len(w))] for w in net.filters]
-
-
 class Scorer:
-    """A net with its words' kinds and look-up tables, which grow as new kinds of words appear."""
+    """A net with the words it has met: number 0 stands for all of embedding zero, others have rows of look-up tables, which grow.
 
-    def __init__(self, net: TextConvNet):
-        self.net, self.kinds, self.tables, self.n = net, Kinds(net.index), None, -1
+    Past ``limit`` words the memory is dropped, which costs time and changes no score.
+    """
+
+    def __init__(self, net: TextConvNet, limit: int = 200_000):
+        self.net, self.limit = net, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.tables = self.net.project(np.zeros((1, self.net.table.shape[1]), self.net.table.dtype))
+
+    def _learn(self, words: set[bytes]) -> None:
+        new = sorted(words.difference(self.known))
+        if not new:
+            return
+        found = self.net.embed(*features_of(new))
+        live = found.any(1)
+        number = np.where(live, np.cumsum(live) + len(self.tables[0][0]) - 1, 0)
+        self.known.update(zip(new, number.tolist()))
+        if live.any():
+            more = self.net.project(found[live])
+            self.tables = [[np.concatenate([a, b]) for a, b in zip(old, add)] for old, add in zip(self.tables, more)]
 
     def score(self, texts: list[str | None]) -> list[float]:
         words = [words_of(t) for t in texts]
-        rows = [self.kinds.rows(w) for w in words]
-        if len(self.kinds.sets) != self.n:
-            self.tables, self.n = tables_of(self.net, self.kinds), len(self.kinds.sets)
-        margin = np.array([self.net.margin(_short(r), self.tables) - self.net.shift[language_of(w)] for r, w in zip(rows, words)])
+        if len(self.known) > self.limit:
+            self._forget()
+        self._learn(set().union(*words))
+        margin = np.zeros(len(words))
+        for i, w in enumerate(words):
+            rows = np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))
+            margin[i] = self.net.margin(_short(rows, self.net.reach), self.tables) - self.net.shift[language_of(w)]
         return (1 / (1 + np.exp(-np.clip(margin, -30, 30)))).tolist()
 
 
-def telling_hashes(words: list[list[bytes]], y: np.ndarray, most: int, least: int = 3) -> list[int]:
-    """Up to ``most`` hashes of at least ``least`` documents that speak most for the label (chi square of the excess)."""
-    parts = [np.unique(np.array([h for w in set(ws) for h in hashes_of(w)], np.int64)) for ws in words]
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    keys, at = np.unique(flat, return_inverse=True)
-    has = np.bincount(at, minlength=len(keys)).astype(np.float64)
-    toxic = np.bincount(at, np.repeat(y, [len(p) for p in parts]), minlength=len(keys)) if len(flat) else np.zeros(0)
+def evidence(docs: list[np.ndarray], y: np.ndarray, rows: int, shrink: float = 4.0) -> np.ndarray:
+    """How many standard deviations, less ``shrink``, each table row's share of positive documents lies over the base rate (0 at least).
+
+    ``docs`` holds the feature hashes of each document. Both rows of every feature are counted, once a document.
+    """
+    n, t = np.zeros(rows), np.zeros(rows)
+    for h, label in zip(docs, y):
+        at = np.unique(np.concatenate(rows_of(h, rows)))
+        n[at] += 1
+        t[at] += label
     rate = y.mean()
-    excess = np.maximum(toxic - has * rate, 0) ** 2 / np.maximum(has * rate * (1 - rate), 1e-9)
-    excess[has < least] = 0
-    order = np.lexsort((keys, -excess))[:most]
-    return [int(keys[i]) for i in order if excess[i] > 12]
+    return np.maximum((t - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate)) - shrink, 0)
 
 
-def fit(texts: list[str | None], y: np.ndarray, vocabulary: int = 800, size: int = 12, each: int = 8, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 6, batch: int = 32, rate: float = 0.02, cut: float = 0.3, seed: int = 7) -> TextConvNet:
-    """Train by Adam on log loss, then calibrate on every fifth document, which training doesn't see.
+def fit(texts: list[str | None], y: np.ndarray, rows: int = 2**20, size: int = 8, each: int = 8, widths: tuple[int, ...] = (1, 2, 3), steps: int = 600, epochs: tuple[int, int] = (4, 30), batch: int = 32, rate: float = 0.02, cut: float = 0.3, seed: int = 7) -> TextConvNet:
+    """Train on log loss (Adam; for the table's rows Adagrad, as few change in a step), then calibrate on every fifth document, which training doesn't see.
 
-    With no rows or a single class the net keeps its prior.
+    ``epochs`` are the fewest and most that ``steps`` batches may take. With no rows or a single class the net keeps its prior.
     """
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
     held = np.arange(len(y)) % 5 == 4
     train = np.nonzero(~held)[0]
-    one = not len(y) or y.min() == y.max()
-    hashes = [] if one else telling_hashes([words[i] for i in train], y[train], vocabulary)
     prior = (y.sum() + 1) / (len(y) + 2)
     net = TextConvNet(
-        {h: i for i, h in enumerate(hashes)}, rng.normal(0, 0.3, (len(hashes), size)), [rng.normal(0, 1 / np.sqrt(size * w), (w, size, each)) for w in widths],
-        [np.zeros(each) for _ in widths], rng.normal(0, 0.1, each * len(widths)), float(np.log(prior / (1 - prior))), np.zeros(len(LANGUAGES)),
+        np.zeros((rows, size), np.float32), [rng.normal(0, 1 / np.sqrt(size * w), (w, size, each)).astype(np.float32) for w in widths], [np.zeros(each, np.float32) for _ in widths],
+        np.abs(rng.normal(0, 0.1, each * len(widths))).astype(np.float32), float(np.log(prior / (1 - prior))), np.zeros(len(LANGUAGES)),
     )
-    if one or not hashes:
+    if not len(y) or y.min() == y.max():
         return net
-    kinds = Kinds(net.index)
-    rows = [_short(kinds.rows(w)) for w in words]
-    kind, row = kinds.flat()
-    params = [net.embed, *net.filters, *net.bias, net.out]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    number: dict[bytes, int] = {}
+    words = [words_of(t) for t in texts]
+    seqs = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in words]
+    hashes, count = features_of(list(number))
+    first = np.cumsum(count) - count
+    of_words = lambda ids: np.repeat(first[ids] - (np.cumsum(count[ids]) - count[ids]), count[ids]) + np.arange(count[ids].sum())
+    start = evidence([hashes[of_words(np.unique(seqs[i]))] for i in train], y[train], rows)
+    way = np.abs(rng.normal(1, 0.3, size)).astype(np.float32)
+    net.table += 0.1 * np.log1p(start)[:, None].astype(np.float32) * way
+    squares = np.full(rows, 0.01, np.float32)
+    params = [*net.filters, *net.bias, net.out]
+    m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, k = 0, len(widths)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) ** 0.5
-    for _ in range(epochs):
+    for _ in range(min(epochs[1], max(epochs[0], -(-steps * batch // len(train))))):
+        # All windows over words of embedding zero are alike and stand for padding; only words beside others are told apart.
+        live = net.embed(hashes, count).any(1)
+        short = {i: _short(seqs[i], net.reach, live) for i in train}
         order = rng.permutation(train)
         for s in range(0, len(order), batch):
-            total = np.zeros((len(kinds.sets), size))
-            np.add.at(total, kind, net.embed[row])
-            tables, grads = [[total @ w[j] for j in range(len(w))] for w in net.filters], [np.zeros_like(p) for p in params]
-            part, bias_grad, into = order[s : s + batch], 0.0, np.zeros_like(total)
+            part = order[s : s + batch]
+            ids = np.unique(np.concatenate([short[i] for i in part]))
+            at = of_words(ids)
+            total = np.concatenate([np.zeros((1, size), np.float32), net.embed(hashes[at], count[ids])])
+            tables, grads, bias_grad, into = net.project(total), [np.zeros_like(p) for p in params], 0.0, np.zeros_like(total)
             for i in part:
-                top, where = net.pooled(rows[i], tables)
-                live = np.maximum(top, 0)
-                p = 1 / (1 + np.exp(-np.clip(live @ net.out + net.out_bias, -30, 30)))
-                d = weight[i] * (p - y[i]) / len(part)
+                own = np.searchsorted(ids, short[i]) + 1
+                top, where = net.pooled(own, tables)
+                lit = np.maximum(top, 0)
+                d = weight[i] * (1 / (1 + np.exp(-np.clip(lit @ net.out + net.out_bias, -30, 30))) - y[i]) / len(part)
                 bias_grad += d
-                grads[-1] += d * live
+                grads[-1] += d * lit
                 back = d * net.out * (top > 0)
-                padded = np.concatenate([rows[i], np.zeros(widths[-1], np.int64)])
+                padded = np.concatenate([own, np.zeros(net.reach, np.int64)])
                 for w in range(k):
                     g = back[w * each : (w + 1) * each]
-                    grads[1 + k + w] += g
+                    grads[k + w] += g
                     for j in range(widths[w]):
-                        at = padded[where[w] + j]
-                        grads[1 + w][j] += total[at].T * g
-                        np.add.at(into, at, (net.filters[w][j] * g).T)
-            np.add.at(grads[0], row, into[kind])
+                        here = padded[where[w] + j]
+                        grads[w][j] += total[here].T * g
+                        np.add.at(into, here, (net.filters[w][j] * g).T)
             step += 1
             net.out_bias -= rate * bias_grad
-            for p_, g_, a, b in zip(params, grads, first, second):
+            for p, g, a, b in zip(params, grads, m1, m2):
                 a *= 0.9
-                a += 0.1 * g_
+                a += 0.1 * g
                 b *= 0.999
-                b += 0.001 * g_ * g_
-                p_ -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    tables = tables_of(net, kinds)
-    after = np.nonzero(held)[0]
-    calibrate(net, np.array([net.margin(rows[i], tables) for i in after]), y[held], np.array([language_of(words[i]) for i in after], int), cut)
+                b += 0.001 * g * g
+                p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+            moved = np.repeat(into[1:], count[ids], axis=0)
+            some = np.nonzero(moved.any(1))[0]
+            for r in rows_of(hashes[at[some]], rows):
+                np.add.at(squares, r, (moved[some] ** 2).mean(1))
+                np.add.at(net.table, r, -rate * moved[some] / np.sqrt(squares[r])[:, None])
+    judge = Scorer(net)
+    margins = [np.log(p / (1 - p)) for p in judge.score([texts[i] for i in np.nonzero(held)[0]])]
+    calibrate(net, np.array(margins), y[held], np.array([language_of(words[i]) for i in np.nonzero(held)[0]], int), cut)
     return net
 
 
-def _short(rows: np.ndarray, keep: int = 3) -> np.ndarray:
-    """Runs of unknown words cut to about the longest filter width: the windows over them are all alike."""
-    known = np.nonzero(rows)[0]
+def _short(rows: np.ndarray, keep: int, live: np.ndarray | None = None) -> np.ndarray:
+    """Runs of words of embedding zero cut to what the filters of width ``keep`` see beside others: the windows within are all alike."""
+    known = np.nonzero(rows if live is None else live[rows])[0]
     near = np.unique((known[:, None] + np.arange(1 - keep, keep)).ravel()) if len(known) else known
     return rows[near[(near >= 0) & (near < len(rows))]]
 
 
 def calibrate(net: TextConvNet, margins: np.ndarray, y: np.ndarray, language: np.ndarray, cut: float, least: int = 12) -> None:
-    """Set each language's margin shift so that its best threshold (by F1, three tenths up the gap) lies at score ``cut``.
+    """Set each language's margin shift so that its threshold lies at score ``cut``.
 
-    Languages with under ``least`` documents of either label use the threshold over all.
+    A threshold is the best by F1, three tenths up the gap. A language's own is averaged with the one over all languages, which has the
+    weight of ``least`` documents against those of the language's rarer label, so few documents move it little.
     """
     if not len(y) or y.min() == y.max():
         return
 
+    margins = np.clip(margins, -6, 6)  # far from the boundary, so that no single document moves a threshold between the labels far
+
     def best(m: np.ndarray, t: np.ndarray) -> float:
         order = np.argsort(-m, kind="stable")
         m, t = m[order], t[order]
@@ -237,16 +289,25 @@ def calibrate(net: TextConvNet, margins: np.ndarray, y: np.ndarray, language: np
     overall, at = best(margins, y), np.log(cut / (1 - cut))
     for code in range(len(LANGUAGES)):
         own = language == code
-        enough = min((y[own] == 1).sum(), (y[own] == 0).sum()) >= least
-        net.shift[code] = (best(margins[own], y[own]) if enough else overall) - at
+        n = min((y[own] == 1).sum(), (y[own] == 0).sum())
+        net.shift[code] = ((n * best(margins[own], y[own]) if n else 0) + least * overall) / (n + least) - at
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, limit: int = 6_000, label: str = "toxic", **how) -> TextConvNet:
-    """Fit on a bounded sample: at most ``limit`` labelled documents outside the held-out fold.
+def train_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, limit: int = 6_000, limit_bytes: int = 64_000_000, label: str = "toxic", **how) -> TextConvNet:
+    """Fit on a bounded sample of labelled documents outside the held-out fold: at most ``limit`` of them and ``limit_bytes`` bytes of text.
 
-    The driver trains; it never holds more than those ``limit`` whole texts.
+    The driver trains and holds no more than that. Ids are taken in order of a hash of the id; one whose text doesn't fit into
+    what is left of the bytes is passed over.
     """
-    rows = labelled_sample(docs, labels, label, fold, held, limit).toArrow()
+    sample = materialize(labelled_sample(docs, labels, label, fold, held, limit))
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+    kept, room = [], limit_bytes
+    for r in sorted(sizes.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):  # at most ``limit`` ids
+        if r.n <= room:
+            kept.append(r.doc_id)
+            room -= r.n
+    chosen = sample.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
+    rows = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
     ids, y = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(np.float64)
     texts = rows.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], texts[i] or ""))
@@ -256,16 +317,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int
 def toxicity_scores(docs: DataFrame, net: TextConvNet, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and score (0 to 1, higher: more toxic; decisions at the calibrated cut) of every whole text.
 
-    Null and empty texts count as no words and are scored. ``carry`` names further columns that pass through.
-    Null and repeated ids give a row each.
+    Null and empty texts count as no words and are scored. Null and repeated ids give a row each. ``carry`` names further columns
+    that pass through; where one of them is called score, the score's own name gets an underscore more.
     """
-    keep = ["doc_id", *carry]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     stamp = uuid.uuid4().hex
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        scorer = process_cache(("toxicity", stamp), lambda: Scorer(net))
-        return {c: cols[c] for c in keep} | {"score": scorer.score(cols["_text"])}
-
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double"
-    return map_arrow(docs.select(*keep, F.col("text").alias("_text")), run, schema)
+    return scored(docs, lambda texts: process_cache(("toxicity", stamp), lambda: Scorer(net)).score(texts), carry)

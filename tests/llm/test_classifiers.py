@@ -1,5 +1,6 @@
 """Quality and toxicity classifiers: held-out accuracy, odd rows, calibration."""
 
+import pickle
 import random
 import zlib
 
@@ -53,7 +54,7 @@ def test_quality_on_held_out_documents(frames):
 
 def test_toxicity_on_held_out_documents(frames):
     docs, labels, truth = frames
-    net = toxicity.train_toxicity(docs, labels, epochs=8)
+    net = toxicity.train_toxicity(docs, labels)
     rows = toxicity.toxicity_scores(docs, net, carry=("lang",)).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     score = {r.doc_id: r.score for r in rows if r.doc_id != 3}
@@ -91,12 +92,60 @@ def test_flattened_trees_equal_plain_walks():
     assert np.allclose(f.margin(x[:50]), [walk(r) for r in x[:50]])
 
 
-def test_short_sequences_pool_alike():
+@pytest.mark.parametrize("widths", [(1, 2, 3), (5,), (2, 7)])
+def test_short_sequences_pool_alike(widths):
     rng = np.random.default_rng(1)
-    net = toxicity.fit([], np.zeros(0))
-    net.embed = rng.normal(size=(3, 12))
-    kinds = toxicity.Kinds({})
-    kinds.sets = [(), (0,), (1, 2)]
-    tables = toxicity.tables_of(net, kinds)
-    rows = rng.choice([0, 0, 0, 0, 0, 1, 2], 300)
-    assert net.margin(rows, tables) == pytest.approx(net.margin(toxicity._short(rows), tables))
+    net = toxicity.fit([], np.zeros(0), rows=2**16, widths=widths)
+    net.out[:] = rng.normal(size=len(net.out))
+    tables = net.project(np.concatenate([np.zeros((1, 8)), rng.normal(size=(2, 8))]))
+    rows = rng.choice([0] * 9 + [1, 2], 300)
+    assert net.reach == max(widths)
+    assert net.margin(rows, tables) == pytest.approx(net.margin(toxicity._short(rows, net.reach), tables))
+
+
+def test_every_word_enters_the_table():
+    rng = np.random.default_rng(2)
+    net = toxicity.fit([], np.zeros(0), rows=2**16)
+    net.table[:] = rng.normal(size=net.table.shape)
+    words = [b"a", b"seldom", "größe".encode(), b"x" * 40, b"trash"]
+    got = net.embed(*toxicity.features_of(words))
+    for w, e in zip(words, got):
+        want = 0
+        for h in toxicity.hashes_of(w):
+            (a,), (b,) = toxicity.rows_of(np.array([h], np.uint32), len(net.table))
+            want = want + toxicity.agreed(net.table[a], net.table[b])
+        assert np.allclose(e, want) and e.any()
+    back = pickle.loads(pickle.dumps(net))
+    assert (back.table == net.table).all() and (back.out == net.out).all()
+
+
+def test_a_shared_row_alone_tells_nothing():
+    net = toxicity.fit([], np.zeros(0), rows=2**16)
+    (a,), (b,) = toxicity.rows_of(np.array(toxicity.hashes_of(b"cat"), np.uint32), 2**16)
+    net.table[a] = 5.0
+    assert not net.embed(*toxicity.features_of([b"cat"])).any()
+    net.table[b] = 2.0
+    assert (net.embed(*toxicity.features_of([b"cat"])) == 2.0).all()
+
+
+def test_forgotten_words_score_alike():
+    docs, labels = corpus(200)
+    texts, y = [d[1] for d in docs], np.array([float(x[2]) for x in labels])
+    net = toxicity.fit(texts, y, steps=40)
+    once, often = toxicity.Scorer(net), toxicity.Scorer(net, limit=50)
+    assert once.score(texts) == pytest.approx([often.score([t])[0] for t in texts])
+
+
+def test_the_sample_is_bounded_in_bytes(frames, monkeypatch):
+    docs, labels, _ = frames
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, **how: seen.append(sum(len((t or "").encode()) for t in texts)))
+    toxicity.train_toxicity(docs, labels, limit_bytes=9_000)
+    assert 8_000 < seen[0] <= 9_000
+
+
+def test_carried_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", 2, "x", 3)], "doc_id long, text string, score int, _text string, `c0` int")
+    none = spark.createDataFrame([], LABELS)
+    for got in (quality.quality_scores(df, quality.train_quality(df, none), ("score", "_text", "c0", "text")), toxicity.toxicity_scores(df, toxicity.train_toxicity(df, none), ("score", "_text", "c0", "text"))):
+        assert got.columns == ["doc_id", "score", "_text", "c0", "text", "score_"] and tuple(got.first())[:5] == (1, 2, "x", 3, "a b")
