@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ESCAPE, UNESCAPE = re.compile(r"[\\<\[\]]"), re.compile(r"\\(.)", re.S)
@@ -113,6 +113,13 @@ def format_messages(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return df.select(*cols).mapInArrow(run, schema)
 
 
+def _raw() -> Column:
+    """The content of a formatted turn without escapes, by which turns of one place and role are ordered."""
+    role = F.length(F.regexp_replace(F.coalesce("role", F.lit("")), r"[\\<\[\]]", r"\\$0"))
+    before, after = F.lit(len("<s>[INST ]")) + role, len("[/INST]</s>")
+    return F.regexp_replace(F.substr("formatted", before + 1, F.length("formatted") - before - after), r"(?s)\\(.)", "$1")
+
+
 class _Digest:
     """Running digests of one conversation, as its formatted turns come by."""
 
@@ -164,7 +171,7 @@ def read_back(turns: DataFrame, loss_roles=("assistant",)) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), _raw())
     return ordered.select("conv_id", "formatted").mapInArrow(run, schema)
 
 
