@@ -15,7 +15,7 @@ from .packing import pack
 from .quality import quality_scores, train_quality
 from .topk import topk_search
 from .toxicity import toxicity_scores, train_toxicity
-from .urlfilter import default_entries, judge
+from .urlfilter import DEFAULT_ENTRIES, default_entries, judge
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,26 +89,35 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; the tables hold no fetch time, so page n counts as fetched n mod 366 days after 2024-01-01."""
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
-    return judge(pages, default_entries(spark))
-
+    """All pages, and of each a copy in its host's archive, under a deep path in mixed case, with the id -1 - page_id.
 
-OP9_SQL = """
-WITH spans(list, pattern, valid_from, valid_to) AS (VALUES
-  ('pharma', 'cheap-pills.example.com', DATE '2024-01-10', DATE '2024-05-01'),
-  ('pharma', 'cheap-pills.example.com', DATE '2024-08-15', NULL),
-  ('gambling', 'free-bets.example.com', DATE '2024-03-01', NULL),
-  ('adult', 'adult-x.example.net', DATE '2023-12-01', NULL),
-  ('spam', 'spam-farm.example.org', DATE '2024-02-20', DATE '2024-10-01'),
-  ('spam', 'blog.tionsh.example.net/en', DATE '2024-06-01', DATE '2024-07-01')
+    The tables hold no fetch time, so page n and its copy count as fetched n mod 366 days after 2024-01-01.
+    """
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
+    host = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    copy = F.concat(host, F.lit("/Archive/2024/Q"), F.pmod("page_id", F.lit(4)), F.lit("/en/pages/"), F.col("page_id"))
+    both = pages.withColumn("c", F.explode(F.array(F.struct("page_id", "url"), F.struct((-1 - F.col("page_id")).alias("page_id"), copy.alias("url")))))
+    return judge(both.select("c.page_id", "c.url", "fetched"), default_entries(spark))
+
+
+OP9_SQL = f"""
+WITH entries(list, pattern, action, day) AS (VALUES
+  {", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in DEFAULT_ENTRIES)}
+), days AS (
+  SELECT list, lower(split_part(pattern, '/', 1)) || regexp_replace(regexp_replace(pattern, '^[^/]*', ''), '/+$', '') AS pattern, day, max(action) AS action
+  FROM entries WHERE NOT starts_with(pattern, '/') GROUP BY ALL
+), turns AS (
+  SELECT *, lag(action) OVER (PARTITION BY list, pattern ORDER BY day) AS was FROM days
+), spans AS (
+  SELECT list, pattern, action, day AS valid_from, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS valid_to
+  FROM turns WHERE coalesce(was, 'remove') <> action
+), c AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day FROM pages
+  UNION ALL SELECT -1 - page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/Archive/2024/Q' || page_id % 4 || '/en/pages/' || page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) FROM pages
 ), p AS (
-  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
-         regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
-         regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path
-  FROM pages
+  SELECT page_id, day, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM c
 ), h AS (
-  SELECT page_id, list, pattern FROM p JOIN spans ON day >= valid_from AND (valid_to IS NULL OR day < valid_to)
+  SELECT page_id, list, pattern FROM p JOIN spans ON action = 'add' AND day >= valid_from AND (valid_to IS NULL OR day < valid_to)
   AND (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(host || path || '/', pattern || '/') AND contains(pattern, '/'))
 )
 SELECT p.page_id, count(h.list) > 0 AS blocked,

@@ -14,40 +14,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, join_heads, materialize
+
 ENTRY_SCHEMA = "list string, pattern string, action string, day date"
-BROADCAST_ROWS = 200_000
+
+
+#: The dated entries the registered query uses: (list, pattern, action, day).
+DEFAULT_ENTRIES = (
+    ("pharma", "cheap-pills.example.com", "add", "2024-01-10"),
+    ("pharma", "cheap-pills.example.com", "remove", "2024-05-01"),
+    ("pharma", "Cheap-Pills.example.com/", "add", "2024-08-15"),
+    ("gambling", "free-bets.example.com", "add", "2024-03-01"),
+    ("gambling", "www.free-bets.example.com", "remove", "2024-03-02"),
+    ("adult", "adult-x.example.net", "add", "2023-12-01"),
+    ("adult", "adult-x.example.net", "add", "2024-02-01"),
+    ("spam", "spam-farm.example.org", "add", "2024-02-20"),
+    ("spam", "spam-farm.example.org", "remove", "2024-10-01"),
+    ("spam", "spam-farm.example.org", "add", "2024-10-01"),
+    ("spam", "blog.tionsh.example.net/en", "add", "2024-06-01"),
+    ("spam", "blog.tionsh.example.net/en/", "remove", "2024-07-01"),
+    ("archive", "Blog.Tionsh.example.com/Archive/2024/Q1/en/pages/", "add", "2024-01-01"),
+    ("archive", "blog.tionsh.example.com/Archive/2024/Q1/en/pages", "remove", "2024-09-01"),
+    ("archive", "blog.tionsh.example.com/archive/2024/q2", "add", "2024-01-01"),
+    ("archive", "blog.tionsh.example.com/Archive/2024/Q3/en", "add", "2024-03-01"),
+    ("archive", "/Archive", "add", "2024-01-01"),
+)
 
 
 def default_entries(spark: SparkSession) -> DataFrame:
-    """The dated entries the registered query uses."""
     import datetime as dt
 
-    rows = [
-        ("pharma", "cheap-pills.example.com", "add", "2024-01-10"),
-        ("pharma", "cheap-pills.example.com", "remove", "2024-05-01"),
-        ("pharma", "cheap-pills.example.com", "add", "2024-08-15"),
-        ("gambling", "free-bets.example.com", "add", "2024-03-01"),
-        ("gambling", "www.free-bets.example.com", "remove", "2024-03-02"),
-        ("adult", "adult-x.example.net", "add", "2023-12-01"),
-        ("adult", "adult-x.example.net", "add", "2024-02-01"),
-        ("spam", "spam-farm.example.org", "add", "2024-02-20"),
-        ("spam", "spam-farm.example.org", "remove", "2024-10-01"),
-        ("spam", "blog.tionsh.example.net/en", "add", "2024-06-01"),
-        ("spam", "blog.tionsh.example.net/en", "remove", "2024-07-01"),
-    ]
-    return spark.createDataFrame([(a, b, c, dt.date.fromisoformat(d)) for a, b, c, d in rows], ENTRY_SCHEMA)
+    return spark.createDataFrame([(a, b, c, dt.date.fromisoformat(d)) for a, b, c, d in DEFAULT_ENTRIES], ENTRY_SCHEMA)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals of each (list, pattern): valid_from, valid_to (null: still valid).
 
     Entries of one day: a removal wins over an addition. Additions while valid and removals while
-    not valid change nothing. Entries with a null list, pattern, day or unknown action are void. Hosts are taken in lower case,
-    paths as they are written.
+    not valid change nothing. Entries with a null list, pattern, day or unknown action, and patterns without a host, are void. Hosts
+    are taken in lower case, paths as they are written; slashes at a pattern's end don't count.
     """
     day = entries.where("list is not null and pattern is not null and day is not null and action in ('add', 'remove')")
-    pattern = F.concat(F.lower(F.regexp_extract("pattern", r"^[^/]*", 0)), F.regexp_extract("pattern", r"(?s)^[^/]*(.*)", 1))
-    day = day.groupBy("list", pattern.alias("pattern"), "day").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("off"))
+    pattern = F.concat(F.lower(F.regexp_extract("pattern", r"^[^/]*", 0)), F.regexp_replace(F.regexp_extract("pattern", r"(?s)^[^/]*(.*)", 1), "/+$", ""))
+    day = day.groupBy("list", pattern.alias("pattern"), "day").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("off")).where("pattern <> '' and not startswith(pattern, '/')")
     order = Window.partitionBy("list", "pattern").orderBy("day")
     change = day.withColumn("was", F.lag("off").over(order)).where("was is null and off = 0 or off <> was")
     ends = change.withColumn("valid_to", F.lead("day").over(order)).where("off = 0")
@@ -71,20 +80,25 @@ def keys_of(url: Column, depths: Sequence[int]) -> Column:
     return F.when(F.length(host) > 0, F.array_distinct(F.concat(hosts, paths))).otherwise(F.array().cast("array<string>"))
 
 
-def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", small: int = BROADCAST_ROWS) -> DataFrame:
     """Every capture with the lists active against it at its fetch day: id, blocked, lists, patterns.
 
     Keys are matched on distinct (url, day) pairs, so a page captured often, or a host with a third of all rows,
-    costs one look-up a distinct pair. Path prefixes are tried at all depths that patterns have. The intervals are broadcast only up to
-    ``BROADCAST_ROWS`` rows (counted); beyond, the join shuffles on the key. Null or unparsable
+    costs one look-up a distinct pair. Path prefixes are tried at all depths that patterns have. Intervals and the pairs that are
+    blocked are broadcast only up to ``small`` rows (counted); beyond, intervals meet the keys by a shuffle, and captures their
+    pairs by ``join_heads``, so that a pair with a large part of all captures goes to no single task. Null or unparsable
     URLs and null times are kept and never blocked. Repeated ids give a row each.
     """
     spans = intervals(entries)
     seen = spans.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.size(F.split("pattern", "/")) - 1)).alias("depths")).first()
-    small, depths = seen.n <= BROADCAST_ROWS, [d for d in seen.depths if d]
+    depths = [d for d in seen.depths if d]
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.to_date(time_col).alias("day"))
-    keyed = rows.select("url", "day").where("url is not null and day is not null").distinct().withColumn("pattern", F.explode(keys_of(F.col("url"), depths)))
-    hit = keyed.join(F.broadcast(spans) if small else spans, "pattern").where("day >= valid_from and (valid_to is null or day < valid_to)")
-    found = hit.groupBy("url", "day").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("pattern")).alias("patterns"))
-    out = rows.join(found, ["url", "day"], "left")
+    pairs = rows.where("url is not null and day is not null").groupBy("url", "day").agg(F.count("*").alias("n"))
+    keyed = pairs.withColumn("pattern", F.explode(keys_of(F.col("url"), depths)))
+    hit = keyed.join(F.broadcast(spans) if seen.n <= small else spans, "pattern").where("day >= valid_from and (valid_to is null or day < valid_to)")
+    found = materialize(hit.groupBy("url", "day", "n").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("pattern")).alias("patterns")))
+    if found.limit(small + 1).count() > small:
+        # Pairs that nothing blocks count too: they share the shuffle.
+        found = materialize(pairs.join(found.drop("n"), ["url", "day"], "left"))
+    out = join_heads(rows, found, ["url", "day"], small=small)
     return out.select(F.col("id").alias(id_col), F.col("lists").isNotNull().alias("blocked"), F.coalesce(F.array_join("lists", ","), F.lit("")).alias("lists"), F.coalesce(F.array_join("patterns", ","), F.lit("")).alias("patterns"))

@@ -46,6 +46,16 @@ def test_conversations_read_back(spark):
     assert chat.digest_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_ties_are_ordered_by_raw_role_and_text(spark):
+    texts = ["<", "Z", "a", "aA", "[", "]", "\\", "", "<Z", "\\Z"]
+    rows = [(1, 0, role, t) for role in ("assistant", "[b]", "\\", None) for t in texts]
+    random.Random(4).shuffle(rows)
+    got = chat.digest_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    mine = sorted((r[2] or "", r[3]) for r in rows)
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for r, t in mine if r == "assistant").encode()).hexdigest()
+
+
 def page(blocks, around=True):
     body = "".join(f"<{t}>{html.escape(b)}</{t}>" for t, b in blocks)
     if not around:
@@ -137,12 +147,11 @@ def test_validity_intervals(spark):
 
 
 @pytest.mark.parametrize("limit", [200_000, 0])
-def test_captures_are_judged_as_of_their_day(spark, monkeypatch, limit):
-    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", limit)
+def test_captures_are_judged_as_of_their_day(spark, limit):
     entries = spark.createDataFrame([("x", "bad.example", "add", dt.date(2024, 1, 3)), ("x", "bad.example", "remove", dt.date(2024, 1, 5)), ("y", "ok.example/path", "add", dt.date(2024, 1, 1))], urlfilter.ENTRY_SCHEMA)
     urls = ["http://bad.example/", "https://u@www.BAD.example:80/a?b", "http://notbad.example/", "http://ok.example/path/x", "http://ok.example/pathx", "http://ok.example", None, "", "not a url", "//bad.example/x#y"]
     captures = [(100 * d + i, u, dt.date(2024, 1, d) if d else None, 1) for d in (0, 2, 3, 4, 5) for i, u in enumerate(urls)]
-    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(captures, "page_id long, url string, fetched date, lists int"), entries).collect()}
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(captures, "page_id long, url string, fetched date, lists int"), entries, small=limit).collect()}
     assert len(got) == len(captures)
     for key, url, day, _ in captures:
         on = []
@@ -154,8 +163,7 @@ def test_captures_are_judged_as_of_their_day(spark, monkeypatch, limit):
 
 
 @pytest.mark.parametrize("limit", [200_000, 0])
-def test_deep_and_upper_case_paths_block(spark, monkeypatch, limit):
-    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", limit)
+def test_deep_and_upper_case_paths_block(spark, limit):
     day = dt.date(2024, 1, 1)
     deep = "Deep.example/" + "/".join("abcdefghij")
     entries = spark.createDataFrame([("d", deep, "add", day), ("d", "mid.example/a/b/c/d", "add", day), ("u", "Example.COM/Ads", "add", day)], urlfilter.ENTRY_SCHEMA)
@@ -163,9 +171,21 @@ def test_deep_and_upper_case_paths_block(spark, monkeypatch, limit):
         "http://deep.example/a/b/c/d/e/f/g/h/i/j": "d", "http://DEEP.example/a/b/c/d/e/f/g/h/i/j/k/?q": "d", "http://deep.example/a/b/c/d/e/f/g/h/i": "",
         "http://mid.example/a/b/c/d/e": "d", "http://mid.example/a/b/c/dd": "", "http://example.com/Ads/x": "u", "http://example.com/ads/x": "", "http://example.com/Ads": "u", "http://example.com/": "",
     }
-    got = urlfilter.judge(spark.createDataFrame([(i, u, day) for i, u in enumerate(want)], "page_id long, url string, fetched date"), entries).orderBy("page_id").collect()
+    got = urlfilter.judge(spark.createDataFrame([(i, u, day) for i, u in enumerate(want)], "page_id long, url string, fetched date"), entries, small=limit).orderBy("page_id").collect()
     assert [(r.blocked, r.lists) for r in got] == [(bool(v), v) for v in want.values()]
     assert {r.patterns for r in got} == {"", "deep.example/a/b/c/d/e/f/g/h/i/j", "mid.example/a/b/c/d", "example.com/Ads"}
     hosts = spark.createDataFrame([("x", "example.com", "add", day)], urlfilter.ENTRY_SCHEMA)
     assert urlfilter.judge(spark.createDataFrame([(1, "http://a.example.com/x/y", day)], "page_id long, url string, fetched date"), hosts).first().lists == "x"
     assert not urlfilter.judge(spark.createDataFrame([(1, "http://a.example.com/x/y", day)], "page_id long, url string, fetched date"), hosts.limit(0)).first().blocked
+
+
+def test_slashes_at_the_end_and_repeated_pairs(spark):
+    day = dt.date(2024, 1, 1)
+    entries = spark.createDataFrame([("a", "one.example/dir/", "add", day), ("b", "Two.example//", "add", day), ("c", "/dir", "add", day), ("c", "", "add", day), ("c", "//", "add", day)], urlfilter.ENTRY_SCHEMA)
+    assert sorted(r.pattern for r in urlfilter.intervals(entries).collect()) == ["one.example/dir", "two.example"]
+    want = {"http://one.example/dir/x": "a", "http://one.example/dir": "a", "http://one.example/dir/": "a", "http://one.example/dirx": "", "http://www.two.example/": "b", "http://x.example/dir": "", "dir": ""}
+    urls = list(want) + ["http://one.example/dir/x"] * 300 + ["http://x.example/dir"] * 300 + [None] * 5
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    for small in (100, 1, 0):
+        got = urlfilter.judge(captures, entries, small=small).collect()
+        assert sorted((r.page_id, r.lists, r.blocked) for r in got) == [(i, want.get(u, ""), bool(want.get(u))) for i, u in enumerate(urls)]
