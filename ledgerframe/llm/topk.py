@@ -1,16 +1,15 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
-Each block of candidate rows holds one sorted list per vector component. For a query,
-the list of component ``d`` is read from its best end (descending values where the
-query is positive, ascending where it is negative), in rounds of growing depth. What
-has been read gives every row a lower and an upper score bound: an unread component
-contributes at most the list's frontier and at least the list's far end. Rows whose
-upper bound is under the k-th lower bound can no longer qualify; when few are left,
-their final scores are resolved exactly. Rounds are matrix products, so all queries of
-a block advance together.
-
-Work is dealt as a grid of (query block, candidate slot) cells of bounded size, each
-cell emits at most k rows a query, and a windowed merge keeps the k best of all cells.
+Each cell of candidate rows holds one sorted list per vector component, whose entries are (row, value, length of the row's vector). For
+a query, the list of a component is read from its best end (descending values where the query is positive, ascending
+where it is negative), in rounds of growing depth, deeper where the query weighs more. What has been
+read gives every row a lower and an upper score bound. The components still unread add at most each list's frontier, and at most, or
+at least minus, the product of what is left of the two lengths (Cauchy-Schwarz), so bounds shrink row by row. Reading
+stops when no more than k rows, or none but ties of the last one, can qualify; only their final scores are resolved.
+
+Work is dealt as a grid of (query block, candidate slot) cells of bounded size. The first slot's cells come first; the k-th best score that
+they find for a query is a lower bound that all other cells start from. Each cell emits at most k rows a query, and a
+windowed merge keeps the k best of all cells.
 """
 
 from __future__ import annotations
@@ -20,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 EXACT = float(2**53)
+#: Shares of all list entries at which a query's reading pauses to compare bounds.
+PAUSES = (0.5, 0.6, 0.68, 0.75, 0.81, 0.86, 0.91, 0.95, 0.98)
 
 
 def quantize(vectors: np.ndarray, scale: int = 1024) -> np.ndarray:
@@ -29,70 +32,88 @@ def quantize(vectors: np.ndarray, scale: int = 1024) -> np.ndarray:
 
 
 def _bigint_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer scores beyond 2**53, saturated to the range of a long."""
-    exact = x.astype(object)
-    whole = np.array([[int(v) for v in row] for row in exact], dtype=object).reshape(x.shape)
-    other = np.array([[int(v) for v in row] for row in q.astype(object)], dtype=object).reshape(q.shape)
-    out = whole.dot(other.T) if x.shape[1] else np.zeros((len(x), len(q)), dtype=object)
-    return np.vectorize(lambda v: max(-(2**63), min(2**63 - 1, int(v))), otypes=[np.int64])(out)
+    """Integer scores of one query beyond 2**53, saturated to the range of a long."""
+    other = [int(v) for v in q]
+    return np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * b for a, b in zip(row, other)))) for row in x.astype(object)], np.int64)
 
 
-def nra_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, depths=(0.25, 0.5, 0.75)) -> list[tuple[int, int, int]]:
-    """The k best rows of one block for each query: (query id, row id, score) triples, best first.
+class SortedLists:
+    """The lists of one cell: ``x`` holds whole numbers as float64, a row each.
 
-    ``x`` and ``q`` hold whole numbers as float64. Scores are exact: all sums stay under
-    2**53, or else whole-number arithmetic without bounds is used.
+    ``place`` is the position of each entry in its list read in descending order. ``opened`` and ``resolved`` count the entries
+    that queries have read and the rows whose final scores they have resolved; ``asked`` counts rows times queries.
     """
-    n, d = x.shape
-    if not n or not len(q):
-        return []
-    if d and np.abs(x).max() * np.abs(q).max() * d >= EXACT:
-        return _pick(ids, _bigint_scores(x, q), qids, np.ones((n, len(q)), bool), k)
-    own = ids[:, None] == qids[None, :]
-    alive = ~own
-    if n > 4 * k and d:
-        order = np.argsort(x, axis=0, kind="stable")
-        ranks = np.empty_like(order)
-        np.put_along_axis(ranks, order, np.arange(n)[:, None], axis=0)
-        lists = np.take_along_axis(x, order, axis=0)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        ends = np.hstack([up * lists[0], down * lists[-1]]).T
-        weights = np.hstack([up, down]).T
-        for share in depths:
-            depth = max(1, int(n * share))
-            read = np.hstack([ranks >= n - depth, ranks < depth])
-            fronts = np.hstack([up * lists[n - depth], down * lists[depth - 1]]).T
-            seen = (np.hstack([x, x]) * read) @ weights
-            unread = (~read).astype(np.float64)
-            lower = seen + unread @ ends
-            lower[own] = -np.inf
-            upper = seen + unread @ fronts
-            kth = np.partition(lower, n - k, axis=0)[n - k]
-            alive &= upper >= kth
-            if alive.sum() <= 8 * k * len(q):
-                break
-    return _pick(ids, _resolve(x, q, alive), qids, alive & ~own, k)
-
-
-def _resolve(x: np.ndarray, q: np.ndarray, alive: np.ndarray) -> np.ndarray:
-    """Exact scores of the surviving (row, query) pairs; other entries are not to be read."""
-    out = np.zeros(alive.shape, np.int64)
-    if alive.mean() > 0.2:
-        out[:] = x @ q.T
-        return out
-    for j in range(len(q)):
-        rows = np.nonzero(alive[:, j])[0]
-        out[rows, j] = x[rows] @ q[j]
-    return out
-
-
-def _pick(ids, scores, qids, alive, k) -> list[tuple[int, int, int]]:
-    out = []
-    for j, qid in enumerate(qids):
-        rows = np.nonzero(alive[:, j] & (ids != qid))[0]
-        best = rows[np.lexsort((ids[rows], ~scores[rows, j]))[:k]]
-        out += [(int(qid), int(ids[r]), int(scores[r, j])) for r in best]
-    return out
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        order = np.argsort(-x, axis=0, kind="stable")
+        self.place = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.place, order.astype(np.int32), np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        self.lists = np.take_along_axis(x, order, axis=0)
+        self.squares = x * x
+        self.length = self.squares.sum(1)
+        self.largest = float(np.abs(x).max()) if x.size else 0.0
+        self.opened = self.resolved = self.asked = 0
+
+    def search(self, qid: int, q: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (row id, score) of a query, best first, without rows of id ``qid``; rows scoring under ``floor`` may be left out.
+
+        All sums stay under 2**53 and are exact, or else whole-number arithmetic without bounds is used.
+        """
+        n, d = self.x.shape
+        own = self.ids == qid
+        self.asked += n
+        if max(self.largest, np.abs(q).max(initial=0)) ** 2 * max(d, 1) >= EXACT:
+            rows = np.nonzero(~own)[0]
+            return self._best(rows, _bigint_scores(self.x[rows], q), k)
+        rows = self._qualifying(own, q, k, floor) if q.any() and n > k else np.nonzero(~own)[0]
+        self.resolved += len(rows)
+        scores = (self.x[rows] @ q).astype(np.int64)
+        return self._best(rows[scores >= floor], scores[scores >= floor], k)
+
+    def _qualifying(self, own: np.ndarray, q: np.ndarray, k: int, floor: float) -> np.ndarray:
+        """Rows that may be among the k best, when reading stops."""
+        n, flip, q2, weight = len(self.x), q < 0, q * q, np.abs(q) / np.abs(q).mean()
+        place, terms = np.where(flip, n - 1 - self.place, self.place), self.x * q
+        rows, squares, length = np.arange(n), self.squares, self.length
+        for share in PAUSES:
+            depth = _depths(weight, share, n)
+            known = (place < depth).astype(np.float64)
+            self.opened += int(known.sum())
+            at = np.minimum(depth, n - 1)
+            front = np.where(depth < n, q * np.where(flip, self.lists[n - 1 - at, np.arange(len(q))], self.lists[at, np.arange(len(q))]), 0.0)
+            seen = np.einsum("nd,nd->n", terms, known)
+            # Sums are exact; roots and their product are rounded, so they get a little room.
+            room = np.sqrt((length - np.einsum("nd,nd->n", squares, known)) * (q2.sum() - known @ q2)) * (1 + 1e-12) + 1e-6
+            lower, upper = seen - room, seen + np.minimum(room, front.sum() - known @ front)
+            if len(rows) == n:
+                lower[own], upper[own] = -np.inf, -np.inf
+            kth = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf)
+            left = upper >= kth
+            if len(rows) == n:
+                left &= ~own
+            rows = rows[left]
+            if len(rows) <= k:
+                return rows
+            if not left.all():
+                place, squares, length, terms = place[left], squares[left], length[left], terms[left]
+        return rows
+
+    def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
+        best = np.lexsort((self.ids[rows], ~scores))[:k]
+        return [(int(self.ids[rows[i]]), int(scores[i])) for i in best]
+
+
+def _depths(weight: np.ndarray, share: float, n: int) -> np.ndarray:
+    """How deep each list is read when ``share`` of all entries are: in proportion to the query's weights, none beyond its end."""
+    order = np.sort(weight)
+    # With the i largest weights read to the end, the others share the rest in proportion.
+    total, size = np.cumsum(order), len(order)
+    full = np.arange(size)[::-1]
+    scale = (share * size - full) / np.maximum(total, 1e-300)
+    fits = np.nonzero((scale * order <= 1) & (scale >= 0))[0]
+    best = scale[fits[-1]] if len(fits) else np.inf
+    return np.minimum(n, np.ceil(n * np.minimum(1.0, best * weight))).astype(np.int64)
 
 
 def _finite(df: DataFrame, vec: str) -> DataFrame:
@@ -100,7 +121,20 @@ def _finite(df: DataFrame, vec: str) -> DataFrame:
     return df.where(F.col(vec).isNotNull() & ~bad)
 
 
-def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rows_per_cell: int = 4096, queries_per_cell: int = 2048) -> DataFrame:
+def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, whole-number vectors and floors of a cell's side, by vector length."""
+    ids, col = t.column("id").to_numpy().astype(np.int64), t.column("v").combine_chunks()
+    col = col if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks)
+    floor = t.column("floor").to_numpy().astype(np.float64) if "floor" in t.column_names else np.full(len(ids), -np.inf)
+    start, size = (col.offsets.to_numpy()[:-1], np.diff(col.offsets.to_numpy())) if len(col) else (np.zeros(0, int), np.zeros(0, int))
+    flat, found = col.values.to_numpy(zero_copy_only=False), {}
+    for d in np.unique(size):
+        rows = np.nonzero(size == d)[0]
+        found[int(d)] = ids[rows], quantize(flat[start[rows][:, None] + np.arange(d)[None, :]].reshape(len(rows), d)), floor[rows]
+    return found
+
+
+def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", cell_values: int = 2**20, least_rows: int = 4096) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest integer inner product for each row of ``queries``.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id; fewer than
@@ -109,39 +143,39 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     empty vectors score 0 with each other. Rows that carry the query's id are its own and are left
     out; an id that occurs in several rows is a candidate once a row, and as a query stands for its
     smallest vector. Scores beyond a long saturate. Other columns are ignored; empty inputs
-    give no rows.
+    give no rows. A cell holds about ``cell_values`` numbers a side; small tables are dealt to as many cells as there are cores, of
+    ``least_rows`` rows or more.
     """
     base = _finite(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), "v").where("id is not null")
     asked = _finite(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), "v").where("id is not null")
-    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    n, m = base.count(), asked.count()
-    slots, blocks = max(1, -(-n // rows_per_cell)), max(1, -(-m // queries_per_cell))
+    asked = materialize(asked.groupBy("id").agg(F.min("v").alias("v")))
+    size = base.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    n, m, each = size.n, asked.count(), max(1, cell_values // max(1, size.d))
+    slots = max(1, -(-n // each), min(base.sparkSession.sparkContext.defaultParallelism, n // least_rows))
+    blocks = max(1, -(-m // each))
     left = base.withColumn("slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
 
     def cell(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        def split(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-            ids = t.column("id").to_numpy().astype(np.int64)
-            col = t.column("v").combine_chunks()
-            col = col if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks)
-            size = np.diff(col.offsets.to_numpy()) if len(col) else np.zeros(0, int)
-            flat, start = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()[:-1] if len(col) else np.zeros(0, int)
-            found = {}
-            for d in np.unique(size):
-                rows = np.nonzero(size == d)[0]
-                found[int(d)] = ids[rows], quantize(flat[start[rows][:, None] + np.arange(d)[None, :]].reshape(len(rows), d))
-            return found
-
-        out, cands, qs = [], split(rows), split(asks)
-        for d, (qids, q) in qs.items():
+        out, cands = [], _by_length(rows)
+        for d, (qids, q, floors) in _by_length(asks).items():
             if d in cands:
-                ids, x = cands[d]
-                for s in range(0, len(qids), 256):
-                    out += nra_block(ids, x, qids[s : s + 256], q[s : s + 256], k)
+                lists = SortedLists(*cands[d][:2])
+                for qid, query, floor in zip(qids.tolist(), q, floors.tolist()):
+                    out += [(qid, i, s) for i, s in lists.search(qid, query, k, floor)]
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
 
-    best = left.groupBy("block", "slot").cogroup(right.groupBy("block", "slot")).applyInArrow(cell, "query_id long, vec_id long, score long")
+    def found(rows: DataFrame, asks: DataFrame) -> DataFrame:
+        return rows.groupBy("block", "slot").cogroup(asks.groupBy("block", "slot")).applyInArrow(cell, "query_id long, vec_id long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found(left.where("slot = 0"), right.withColumn("slot", F.lit(0).cast("long")))
+    if slots > 1:
+        best = materialize(best)
+        kth = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+        started = materialize(right.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+        others = started.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(slots - 1).cast("long"))))
+        best = best.unionByName(found(left.where("slot > 0"), others))
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
