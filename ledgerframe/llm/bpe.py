@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -80,16 +81,20 @@ def segments_with_space(text: str) -> list[str] | None:
 class SegmentEncoder:
     """Encodes texts by a tokenizers definition, remembering the ids of short segments.
 
-    ``split`` gives a text's segments, or None for a text that must be encoded whole. ``limit`` bounds the remembered segments: past it the older half is let go, which costs
+    ``split`` gives a text's segments, or None for a text that must be encoded whole. With ``added`` the definition's added tokens are
+    found in texts, as the library's plain call does, and texts that hold one (in any case) are encoded whole; without, their strings are
+    text like any other. ``limit`` bounds the remembered segments: past it the older half is let go, which costs
     time and never changes a result.
     """
 
-    def __init__(self, definition: str, split: Callable[[str], list[str] | None] | None = None, limit: int = 400_000):
+    def __init__(self, definition: str, split: Callable[[str], list[str] | None] | None = None, limit: int = 400_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
-        self.tok.encode_special_tokens = True
-        self.split = split or segments_with_space
+        self.tok.encode_special_tokens = not added
+        strings = [t["content"] for t in json.loads(definition).get("added_tokens") or ()] if added else []
+        holds, cut = re.compile("|".join(map(re.escape, strings)) or "(?!)", re.I).search, split or segments_with_space
+        self.split = (lambda text: None if holds(text) else cut(text)) if strings else cut
         self.limit, self.young, self.old = limit, {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:

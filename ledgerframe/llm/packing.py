@@ -1,11 +1,13 @@
 """Best-fit packing of documents into fixed-length sequences by bin completion.
 
 Only the number of pieces of each length matters to a packing, and there are at most ``capacity``
-lengths, so the search runs on a histogram of bounded size whatever the corpus. It
-branches around the largest length left: undominated fillings of the space beside it, least waste
-first, each applied as many times as the histogram allows. A branch is cut when the bins used so far and the
-least bins that the rest must take (total length over capacity, and the bound that counts
-lengths too large to share a bin) reach the incumbent; best-fit decreasing gives the first incumbent.
+lengths, so the search runs on a histogram of bounded size whatever the corpus. It branches around the largest length left:
+undominated fillings of the space beside it, each as often as the histogram allows, then half as often and so on down to once. Fillings come
+one by one as branches ask for them, and none is left out: of one and of two items by least waste, then of three and more.
+A branch is cut when the bins used so far and the waste bounds of what is left (total length over capacity, and the bounds that count lengths
+too large to share a bin) reach the incumbent; best-fit decreasing gives the first incumbent. Branches are taken by their discrepancies, that is by how
+far their choices lie from the first of each list: those of none, of one, of two. What ends the search is the bound, the end of all
+branches, or the number of nodes; the last makes it a heuristic on large histograms.
 
 The plan is a list of patterns with multiplicities. Pieces are dealt to it by their rank among all pieces of
 their length, found from counts per writing task; no group of pieces meets in one task.
@@ -14,6 +16,7 @@ their length, found from counts per writing task; no group of pieces meets in on
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import OTHER_SPACE, SegmentEncoder
-from .common import materialize, process_cache
+from .common import BROADCAST_ROWS, materialize, process_cache
 
 # Letters and numbers of Latin text (below U+0180), and the matches of the word tokenizer's pattern in it.
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -54,18 +57,14 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     For a threshold t, lengths over capacity - t take a bin each that nothing of t or more can join, and the
     rest of at least t needs its total length, less the room beside lengths over half the capacity.
     """
-    size = np.arange(capacity + 1)
-    number, total = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * size)[::-1])[::-1]
-    number, total = np.append(number, 0), np.append(total, 0)
-    best = -(-int(total[0]) // capacity)
-    half = capacity // 2 + 1
-    for t in range(1, capacity // 2 + 1):
-        alone = int(number[capacity - t + 1])
-        large = int(number[half] - number[capacity - t + 1])
-        room = large * capacity - int(total[half] - total[capacity - t + 1])
-        rest = int(total[t] - total[half]) - room
-        best = max(best, alone + large + max(0, -(-rest // capacity)))
-    return best
+    number = np.append(np.cumsum(counts[::-1])[::-1], 0)
+    total = np.append(np.cumsum((counts * np.arange(capacity + 1))[::-1])[::-1], 0)
+    half, t = capacity // 2 + 1, np.arange(1, capacity // 2 + 1)
+    alone = number[capacity - t + 1]
+    large, rest = number[half] - alone, total[t] - total[half]
+    rest = rest - (large * capacity - (total[half] - total[capacity - t + 1]))
+    bounds = alone + large + np.maximum(0, -(-rest // capacity))
+    return max(-(-int(total[0]) // capacity), int(bounds.max(initial=0)))
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> Plan:
@@ -111,116 +110,138 @@ def _covers(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
     return True
 
 
-def completions(counts: np.ndarray, room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first and larger items first on ties.
-
-    Fillings of one, two, three and more items are built so that the last item is always the largest that fits;
-    one whose items fit into the items of another is dominated and dropped.
+def _larger_first(counts: np.ndarray, room: int, items: int, largest: int) -> Iterator[tuple[int, ...]]:
+    """Fillings of ``room`` with exactly ``items`` items in falling order, none over ``largest``, the last one the largest that fits."""
+    top = min(room, largest)
+    if items == 1:
+        have = np.nonzero(counts[1 : top + 1])[0]
+        if len(have):
+            yield (int(have[-1]) + 1,)
+        return
+    for first in np.nonzero(counts[1 : top + 1])[0][::-1].tolist():
+        first += 1
+        if first * items < room and not counts[1 : room - first + 1].any():
+            continue
+        counts[first] -= 1
+        rest = list(_larger_first(counts, room - first, items - 1, first)) if items == 2 else _larger_first(counts, room - first, items - 1, first)
+        counts[first] += 1
+        it = iter(rest)
+        while True:
+            counts[first] -= 1
+            got = next(it, None)
+            counts[first] += 1
+            if got is None:
+                break
+            yield (first, *got)
+
+
+def completions(counts: np.ndarray, room: int, budget: list[float] | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room``, one by one; of ``budget`` (a list of one number) each filling looked at takes a fiftieth, and none is left at 0.
+
+    One and two items come first, least waste first and larger items first on ties, then three items, four and so on. The last item is
+    always the largest that fits. A filling whose items fit into those of an earlier one is dominated by it, and dropped.
     """
-    if room <= 0:
-        return [()]
-    have = counts[: room + 1] > 0
-    have[0] = False
-    if not have.any():
-        return [()]
-    sizes = np.nonzero(have)[0]
-    under = np.maximum.accumulate(np.where(have, np.arange(room + 1), 0))
-    found = {(int(under[room]),)}
-
-    def pairs(space: int, used: tuple[int, ...]) -> list[tuple[int, ...]]:
-        first = sizes[sizes <= space]
-        if not len(first):
-            return []
-        second = under[space - first]
-        second = np.where((second == first) & (counts[first] < 2), np.where(first > 0, under[np.maximum(first - 1, 0)], 0), second)
-        waste = space - first - second
-        order = np.lexsort((-first, waste))[:3]
-        return [tuple(sorted((*used, int(first[i]), *([int(second[i])] if second[i] else [])), reverse=True)) for i in order]
-
-    found.update(pairs(room, ()))
-    if all(sum(f) < room for f in found):
-        for a in sizes[::-1][:: max(1, len(sizes) // 12)]:
-            found.update(pairs(room - int(a), (int(a),)))
-    for start in list(found):
-        items, space = list(start), room - sum(start)
-        while space > 0 and under[space]:
-            items.append(int(under[space]))
-            space -= items[-1]
-        found.add(tuple(sorted(items, reverse=True)))
-    fits = [f for f in found if sum(f) <= room and all(counts[x] >= k for x, k in Counter(f).items())]
-    fits.sort(key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))
+    counts = counts[: max(room, 0) + 1].copy()
+    counts[0] = 0
+    sizes = np.nonzero(counts)[0]
+    if not len(sizes):
+        yield ()
+        return
+    under = np.maximum.accumulate(np.where(counts > 0, np.arange(room + 1), 0))
+    second = under[room - sizes]
+    second = np.where((second == sizes) & (counts[sizes] < 2), under[sizes - 1], second)
+    fits = second <= sizes
+    pairs = [(int(a), int(b)) for a, b in zip(sizes[fits], second[fits]) if b]
+    small = sorted([(int(under[room]),), *pairs], key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))
+    more = (f for items in range(3, room // int(sizes[0]) + 1) for f in _larger_first(counts, room, items, room))
     kept: list[tuple[int, ...]] = []
-    for f in fits[:24]:
+    for f in itertools.chain(small, more):
+        if budget is not None:
+            budget[0] -= 0.02
+            if budget[0] <= 0:
+                return
+        if kept and kept[0] == (room,):  # it dominates all others
+            return
         if not any(_covers(g, f) for g in kept):
             kept.append(f)
-        if len(kept) == most:
-            break
-    return kept or [()]
+            yield f
+
+
+class _Node:
+    """A place in the search: the choices around the largest length, made as they are asked for, and those made."""
+
+    def __init__(self, counts: np.ndarray, capacity: int, budget: list[float]):
+        self.large = int(np.nonzero(counts)[0][-1])
+        beside = counts.copy()
+        beside[self.large] -= 1
+        self.counts, self.fills = counts.copy(), completions(beside, capacity - self.large, budget)
+        self.made: list[tuple[tuple[int, ...], int]] = []
+        self.halves: list[tuple[tuple[int, ...], int]] = []
+
+    def choice(self, i: int) -> tuple[tuple[int, ...], int] | None:
+        """The i-th choice: a pattern and how often. Smaller multiplicities of a filling alternate with further fillings."""
+        while len(self.made) <= i:
+            fill = next(self.fills, None) if len(self.made) % 2 == 0 or not self.halves else None
+            if fill is not None:
+                pattern = (self.large, *fill)
+                m = min(int(self.counts[x]) // k for x, k in Counter(pattern).items())
+            elif self.halves:
+                pattern, m = self.halves.pop(0)
+            else:
+                return None
+            self.made.append((pattern, m))
+            if m > 1:
+                self.halves.append((pattern, m // 2))
+        return self.made[i]
 
 
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 3_000) -> Plan:
     """Patterns and multiplicities that pack the histogram ``counts[length]`` into as few bins as were found.
 
-    Stops when the lower bound is met or ``nodes`` search nodes are spent; the node limit bounds search
+    Stops when the lower bound is met, no branch is left, or ``nodes`` search nodes are spent; the node limit bounds search
     effort only, every piece is packed either way.
     """
     counts = counts.astype(np.int64).copy()
     least, best = lower_bound(counts, capacity), best_fit_decreasing(counts, capacity)
-    fewest = sum(m for _, m in best)
-    size = np.arange(capacity + 1)
-    # Depth first with an explicit stack of (fillings left to try, pattern chosen, multiplicity).
-    stack: list[list] = []
-    used, total, spent = 0, int((counts * size).sum()), 0
-    discrepancies = 0
-
-    def options() -> list[tuple[tuple[int, ...], int]]:
-        large = int(np.nonzero(counts)[0][-1])
-        counts[large] -= 1
-        fills = completions(counts, capacity - large, 4 if discrepancies < 3 else 1)
-        counts[large] += 1
-        out = []
-        for f in fills:
-            need = Counter((large, *f))
-            out.append(((large, *f), min(int(counts[x]) // k for x, k in need.items())))
-        return out[::-1]
-
-    def undo() -> None:
-        nonlocal used, total
-        _, pattern, m = stack[-1]
-        if m:
+    fewest, budget, allowed = sum(m for _, m in best), [float(nodes)], 0
+    while fewest > least and budget[0] > 0:
+        # One pass takes all branches with at most ``allowed`` discrepancies.
+        stack: list[list] = []  # node, next choice, pattern, multiplicity
+        used, deviated, cut = 0, 0, False
+        while budget[0] > 0 and fewest > least:
+            open_here = not stack or stack[-1][3]
+            if open_here and not counts.any():
+                if used < fewest:
+                    fewest, best = used, [(p, m) for _, _, p, m in stack]
+                open_here = False
+            if open_here and used + lower_bound(counts, capacity) < fewest:
+                stack.append([_Node(counts, capacity, budget), 0, (), 0])
+                budget[0] -= 1
+            elif not stack:
+                break
+            node, i, pattern, m = stack[-1]
+            if m:
+                for x in pattern:
+                    counts[x] += m
+                used, deviated = used - m, deviated - (i - 1)
+            found = node.choice(i) if deviated + i <= allowed else None
+            if found is None:
+                cut = cut or (deviated + i > allowed and node.choice(i) is not None)
+                stack.pop()
+                if not stack:
+                    break
+                continue
+            pattern, m = found
+            for x in pattern:
+                counts[x] -= m
+            used, deviated = used + m, deviated + i
+            stack[-1][1:] = [i + 1, pattern, m]
+        for _, _, pattern, m in stack:
             for x in pattern:
                 counts[x] += m
-            used -= m
-            total += m * sum(pattern)
-            stack[-1][2] = 0
-
-    while fewest > least and spent < nodes:
-        if total == 0:
-            if used < fewest:
-                fewest, best = used, [(p, m) for _, p, m in stack]
-            advance = False
-        else:
-            advance = used - (-total // capacity) < fewest
-            if advance:
-                spent += 1
-                stack.append([options(), (), 0])
-        if not advance and stack:
-            # Best candidates for another choice are near the root, where the large lengths are placed.
-            while len(stack) > 1 and (not stack[-1][0] or len(stack) > 64):
-                undo()
-                stack.pop()
-            undo()
-        while stack and not stack[-1][0]:
-            undo()
-            stack.pop()
-        if not stack:
+        if not cut:
             break
-        pattern, m = stack[-1][0].pop()
-        stack[-1][1:] = [pattern, m]
-        for x in pattern:
-            counts[x] -= m
-        used += m
-        total -= m * sum(pattern)
+        allowed += 1
     return best
 
 
@@ -263,7 +284,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words))
+        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words, added=True))
         chunk, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
@@ -284,6 +305,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, nodes: int = 3_000, with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
+    A document's ids are those of the library's plain call without special tokens; strings of added tokens in a text become their ids.
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with ``with_ids`` the
     ids (little-endian unsigned 32-bit). Each document is its tokens and ``end_id``, so null and empty texts
     are one token long. Null and repeated doc_ids and repeated rows are documents of their own; other columns are
@@ -291,6 +313,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """
     pieces = materialize(pieces_of(docs, tokenizer_path, capacity, end_id, with_ids))
     per_task = materialize(pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")))
+    small = per_task.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # At most one row a length: bounded by the capacity.
     found = per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(capacity + 1, np.int64)
@@ -303,7 +326,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_task.select("length", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # Beyond a counted size the look-up is a shuffle of the short rows; a key has no more of them than one task wrote.
+    ranked = pieces.join(F.broadcast(offsets) if small else offsets.hint("merge"), ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("nth"))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     low = {int(x): (int(a), int(b)) for x, a, b in zip(*(lambda u, i, c: (u, i, i + c))(*np.unique(runs["length"], return_index=True, return_counts=True)))} if len(runs["length"]) else {}
 
