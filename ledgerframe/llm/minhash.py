@@ -20,10 +20,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, process_cache
+from .common import join_heads, map_arrow, materialize, process_cache, release
 
 MASK = (1 << 64) - 1
 
@@ -143,22 +143,24 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, bits: int) ->
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, digest binary, keys array<long>, low binary", rows=128)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over ``edges`` (a, b) from each id that an edge touches.
 
     Minimum labels spread over the edges and are then short-cut through their own label, so the rounds
     grow with the logarithm of the longest path. ``nodes`` is (id, comp), the labels to start from.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = nodes
+    label = last = nodes
     while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = label.join(near, label.id == near.a, "left").select("id", F.least("comp", F.coalesce("near", "comp")).alias("comp"), F.col("comp").alias("old"))
         via = step.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         new = materialize(step.join(via, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "old"))
+        release(last)
         if new.where("comp <> old").isEmpty():
+            release(both)
             return new.select("id", "comp")
-        label = new.select("id", "comp")
+        label, last = new.select("id", "comp"), new
 
 
 class _Links:
@@ -276,10 +278,12 @@ def _across(groups: DataFrame, label: DataFrame, reps: DataFrame, test: _Links,
     """
     here = groups.join(label.withColumnRenamed("id", "doc_id"), "doc_id").join(reps.select("doc_id", "n_shingles", "low"), "doc_id")
     sizes = here.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    main = sizes.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("hub", "main")
-    sides = sizes.join(main, "hub").withColumn("side", F.when(F.col("comp") == F.col("main"), "m").otherwise("o"))
-    parts = sides.groupBy("hub").agg(*(heap_of.alias(n) for n, heap_of in (("mains", _heaps("m", block)), ("others", _heaps("o", block)))))
-    rows = here.join(main, "hub").join(parts, "hub").withColumn("side", F.when(F.col("comp") == F.col("main"), "m").otherwise("o"))
+    most = F.max(F.struct("n", "comp", "s"))
+    heads = sizes.groupBy("hub").agg(most.alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c")).where("c > 1")
+    heap = lambda n, s: F.greatest(F.ceil(n / block), F.ceil(s / (1000 * block))).cast("long")
+    heads = heads.select("hub", "n", F.col("m.comp").alias("main"), heap(F.col("m.n"), F.col("m.s")).alias("mains"), heap(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("others"))
+    # A hub may hold a large part of all rows, so its row of heads comes by broadcast or spread join, never by a shuffle on the hub.
+    rows = join_heads(here, materialize(heads), ["hub"], how="inner").withColumn("side", F.when(F.col("comp") == F.col("main"), "m").otherwise("o"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == "m", F.col("mains")).otherwise(F.col("others"))))
     rows = materialize(rows.select("hub", "doc_id", "comp", "n_shingles", "low", "side", "part", "others", "mains"))
     rows = rows.join(test.texts, "doc_id")
@@ -316,7 +320,3 @@ def _across(groups: DataFrame, label: DataFrame, reps: DataFrame, test: _Links,
     left, right = first.toDF(*(f"{c}_" for c in cols)).toDF(*cols), own.unionByName(other)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, "a long, b long")
 
-
-def _heaps(side: str, block: int) -> Column:
-    n, s = F.sum(F.when(F.col("side") == side, F.col("n"))), F.sum(F.when(F.col("side") == side, F.col("s")))
-    return F.greatest(F.ceil(n / block), F.ceil(s / (1000 * block))).cast("long")
