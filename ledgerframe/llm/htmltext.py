@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import join_heads, map_arrow, materialize
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -35,8 +35,17 @@ NOISE_NAMES = _set(
     "breadcrumb breadcrumbs menu menus nav navbar navigation navi footer foot popup modal overlay lightbox toolbar pagination pager paging search searchbox skip banner banners widget widgets paywall toc hidden copyright trending"
 )
 READER_NAMES = _set("comment comments commentlist disqus reply replies respond discussion")
+#: Words that say nothing of what an element holds: beside a noise word they leave it one.
+PLAIN_NAMES = _set(
+    "a actions after area back banner bar before big block blocks body bottom box btn button buttons card cards center close col collapse column component container content count cta desktop details div dock drawer element end "
+    "entries entry float form full grid group head header heading helper hero holder horizontal icon icons id image images inline inner input item items js label large layer layout left line link links list lists main media meta "
+    "middle mobile module modules more new next node on outer overlay page pages panel panels part pane placeholder post posts prev primary region right row section sections secondary show site slot small sticky story stories strip tab "
+    "tabs tag tags template text thumb tile title titles tool tools top unit us vertical view w wide widget wrap wrapper x zone"
+)
+NOISE_OR_PLAIN = NOISE_NAMES | PLAIN_NAMES
 HEAD_NAMES = _set("header masthead topbar")
 GOOD_NAMES = _set("article content post entry story main body text blog page")
+PIECES = _set("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote figcaption span em strong b i a code")
 CONTAINERS = _set("article main section div td body blockquote center")
 
 
@@ -49,6 +58,7 @@ class Node:
     good: bool
     path: str
     marked: bool = False  # by a name or as a form: noise unless it holds the article
+    vague: bool = False  # marked only by a noise word beside others that may say what it is: share-price, related-work
     reader: bool = False
     main: bool = False
     score: float = 0.0
@@ -124,16 +134,18 @@ def parse(page: str) -> list[Node]:
             close(*CLOSES[tag])
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3] or m[6] or "")} if m[3] or m[6] else {}
         own = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-        names = tuple(x for x in re.split(r"[^a-z]+", own) if x)
+        words = [tuple(x for x in re.split(r"[^a-z]+", n) if x) for n in own.split()]
+        names = {x for w in words for x in w}
         above = nodes[stack[-1]]
         role = attrs.get("role", "").lower()
         noise = above.noise or tag in NOISE_TAGS or role in NOISE_ROLES or (tag not in ("html", "body") and _hidden(attrs))
         marked = tag == "form" or (tag not in ("html", "body") and not NOISE_NAMES.isdisjoint(names))
+        vague = marked and tag != "form" and not any(not NOISE_NAMES.isdisjoint(w) and NOISE_OR_PLAIN.issuperset(w) for w in words)
         head = tag == "header" or not HEAD_NAMES.isdisjoint(names)
         main = tag in ("article", "main") or role in ("main", "article")
         good = main or not GOOD_NAMES.isdisjoint(names)
         path = above.path if tag == "html" else f"{above.path}>{_step(tag, attrs.get('class', ''))}"
-        nodes.append(Node(tag, ("#head",) if head else (), stack[-1], noise, good, path, marked, not READER_NAMES.isdisjoint(names), main))
+        nodes.append(Node(tag, ("#head",) if head else (), stack[-1], noise, good, path, marked, vague, not READER_NAMES.isdisjoint(names), main))
         above.parts.append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
         if tag in ("h1", "h2"):
@@ -146,6 +158,8 @@ def parse(page: str) -> list[Node]:
 def _settle_marks(nodes: list[Node]) -> None:
     """Marked elements become noise, with all below them, unless they are or hold the article.
 
+    A vague mark (a noise word beside words of other meaning) counts only outside an article or main element and on no paragraph, heading or
+    item, or where most of the text is links.
     They do where they are or hold an article or main element or the h1; of several, those under the fewest marks count.
     An article among readers' comments, or under a mark with the h1 elsewhere, counts only with more than half of the page's text outside
     links, so that comments and teasers in articles of their own stay noise. Marked elements also stay with more than half of that text, or
@@ -154,7 +168,7 @@ def _settle_marks(nodes: list[Node]) -> None:
     if not any(n.marked and not n.noise for n in nodes):
         return
     count = len(nodes)
-    marks, size = [0] * count, [0] * count
+    marks, size, whole = [0] * count, [0] * count, [0] * count
     link, header, reader, holds_title, inside = ([False] * count for _ in range(5))
     for i, node in enumerate(nodes):
         if i:
@@ -163,10 +177,12 @@ def _settle_marks(nodes: list[Node]) -> None:
             link[i] = link[up] or node.tag == "a"
             header[i] = (header[up] or "#head" in node.names) and not node.main
             reader[i] = reader[up] or node.reader
-        if not (node.noise or link[i]):
-            size[i] = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        if not node.noise:
+            whole[i] = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+            size[i] = 0 if link[i] else whole[i]
     for i in range(count - 1, 0, -1):
         size[nodes[i].parent] += size[i]
+        whole[nodes[i].parent] += whole[i]
     titles = [i for i, n in enumerate(nodes) if n.tag == "h1" and not (n.noise or header[i] or reader[i] and 2 * size[n.parent] <= size[0])]
     for i in titles:
         while i >= 0 and not holds_title[i]:
@@ -184,6 +200,8 @@ def _settle_marks(nodes: list[Node]) -> None:
                     i = nodes[i].parent
     for i, node in enumerate(nodes[1:], 1):
         inside[i] = inside[i] or inside[node.parent]
+        if node.vague and not node.reader and 2 * size[i] >= whole[i] and (inside[i] or not mains or node.tag in PIECES):
+            node.marked = False
         if node.marked and not holds[i]:
             share = 0.9 if node.reader or (mains and not inside[i]) else 0.5
             node.noise = node.noise or size[i] <= share * size[0]
@@ -332,28 +350,27 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and its winning path: most votes, then the larger score, then the later path in order."""
+    """host, its number of pages (n) and its winning path: most votes, then the larger score, then the later path in order; null without votes."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         votes = [vote_of(p) for p in cols["html"]]
         return {"host": cols["host"], "path": [v and v[0] for v in votes], "score": [v and v[1] for v in votes]}
 
-    votes = map_arrow(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host is not null"), run, "host string, path string, score double").where("path is not null")
+    votes = map_arrow(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host is not null"), run, "host string, path string, score double")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path"))
+    return counted.groupBy("host").agg(F.sum("n").alias("n"), F.max_by("path", F.when(F.col("path").isNotNull(), F.struct("n", "score", "path"))).alias("path"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 50_000) -> DataFrame:
     """Main text of every page: id, url, text, n_chars (code points).
 
     Null and empty pages give empty text. Pages whose URL has no host are extracted by themselves. Repeated rows and
-    ids give a row each; other columns are ignored. The winning paths are broadcast only up to ``broadcast_hosts``
-    hosts (counted); beyond, the join shuffles.
+    ids give a row each; other columns are ignored. Up to ``broadcast_hosts`` hosts (counted) the winning paths are broadcast and html
+    stays where it is; beyond, those of hosts with many pages are, and the other hosts' pages are shuffled.
     """
     paths = materialize(host_paths(pages, url_col, html_col))
-    small = paths.limit(broadcast_hosts + 1).count() <= broadcast_hosts
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(F.broadcast(paths) if small else paths, "host", "left").select("id", "url", "html", "path")
+    joined = join_heads(rows, paths, ["host"], small=broadcast_hosts).select("id", "url", "html", "path")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         text = [extract(h, p) for h, p in zip(cols["html"], cols["path"])]
