@@ -50,8 +50,7 @@ class SortedLists:
         self.place = np.empty(x.shape, np.int32)
         np.put_along_axis(self.place, order.astype(np.int32), np.arange(len(x), dtype=np.int32)[:, None], axis=0)
         self.lists = np.take_along_axis(x, order, axis=0)
-        self.squares = x * x
-        self.length = self.squares.sum(1)
+        self.length = (x * x).sum(1)
         self.largest = float(np.abs(x).max()) if x.size else 0.0
         self.opened = self.resolved = self.asked = 0
 
@@ -74,31 +73,36 @@ class SortedLists:
     def _qualifying(self, own: np.ndarray, q: np.ndarray, k: int, floor: float) -> np.ndarray:
         """Rows that may be among the k best, when reading stops."""
         n, flip, q2, weight = len(self.x), q < 0, q * q, np.abs(q) / np.abs(q).mean()
-        place, terms = np.where(flip, n - 1 - self.place, self.place), self.x * q
-        rows, squares, length = np.arange(n), self.squares, self.length
+        rows = np.nonzero(~own)[0]
         for share in PAUSES:
             depth = _depths(weight, share, n)
-            known = (place < depth).astype(np.float64)
-            self.opened += int(known.sum())
-            at = np.minimum(depth, n - 1)
-            front = np.where(depth < n, q * np.where(flip, self.lists[n - 1 - at, np.arange(len(q))], self.lists[at, np.arange(len(q))]), 0.0)
-            seen = np.einsum("nd,nd->n", terms, known)
+            at, comps = np.minimum(depth, n - 1), np.arange(len(q))
+            front = np.where(depth < n, q * np.where(flip, self.lists[n - 1 - at, comps], self.lists[at, comps]), 0.0)
+            seen, square, weights, fronts = self._read(rows, q, np.where(flip, n - depth, 0), depth, np.stack([q2, front], axis=1))
             # Sums are exact; roots and their product are rounded, so they get a little room.
-            room = np.sqrt((length - np.einsum("nd,nd->n", squares, known)) * (q2.sum() - known @ q2)) * (1 + 1e-12) + 1e-6
-            lower, upper = seen - room, seen + np.minimum(room, front.sum() - known @ front)
-            if len(rows) == n:
-                lower[own], upper[own] = -np.inf, -np.inf
+            room = np.sqrt((self.length[rows] - square) * (q2.sum() - weights)) * (1 + 1e-12) + 1e-6
+            lower, upper = seen - room, seen + np.minimum(room, front.sum() - fronts)
             kth = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf)
-            left = upper >= kth
-            if len(rows) == n:
-                left &= ~own
-            rows = rows[left]
+            rows = rows[upper >= kth]
             if len(rows) <= k:
-                return rows
-            if not left.all():
-                place, squares, length, terms = place[left], squares[left], length[left], terms[left]
+                break
         return rows
 
+    def _read(self, rows: np.ndarray, q: np.ndarray, start: np.ndarray, depth: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each row, over the components read (places from ``start``, ``depth`` of them): its score, its squares, and both columns of ``sums``."""
+        start, depth, out = start.astype(np.int32), depth.astype(np.uint32), np.empty((4, len(rows)))
+        for s in range(0, len(rows), 1024):  # blocks that stay in the processor's cache
+            part = rows[s : s + 1024]
+            x, place = self.x[part], self.place[part]
+            place -= start
+            known = (place.view(np.uint32) < depth).astype(np.float64)
+            out[2:, s : s + 1024] = (known @ sums).T
+            self.opened += int(known.sum())
+            known *= x
+            out[0, s : s + 1024] = known @ q
+            out[1, s : s + 1024] = np.einsum("nd,nd->n", known, x)
+        return tuple(out)
+
     def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
         best = np.lexsort((self.ids[rows], ~scores))[:k]
         return [(int(self.ids[rows[i]]), int(scores[i])) for i in best]
