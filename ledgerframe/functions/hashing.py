@@ -1,8 +1,9 @@
 """Content addressing with SHA-256.
 
-Rows are hashed from their canonical JSON (columns in order of name, nulls kept). A version's content hash is a two-level
-tree over row hashes: rows are grouped by the first hex digits of their hash, each group is hashed in
-order, and the groups' digests are hashed. Row order doesn't matter, and no group needs more than its share of the rows.
+Rows are hashed from their canonical JSON (columns in order of name, nulls kept). A version's content hash is a tree over row hashes:
+rows are grouped by the first six hex digits of their hash and each group is hashed in order, then the groups' digests by
+the first three digits, then those of all. Row order doesn't matter. Of a version's rows a leaf holds one in 16 million, a
+node above at most 4,096 digests, so no list grows with the version before it has some 10^11 rows.
 """
 
 from __future__ import annotations
@@ -41,15 +42,19 @@ def row_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def content_hash(rows: DataFrame, keys: Sequence[str], hash_col: str, digits: int = 2) -> DataFrame:
-    """keys, record_count, content_hash of each group of row hashes.
+def content_hash(rows: DataFrame, keys: Sequence[str], hash_col: str) -> DataFrame:
+    """keys, record_count, content_hash of each group of row hashes (SHA-256 in hex).
 
-    ``digits`` hex digits make 16**digits leaves a group; raise it with the rows a version has, so that a leaf's sorted list
-    stays small (about rows / 16**digits hashes).
+    Rows are shuffled once, by key and first three digits, so that a large version is spread over 4,096 places; both lower levels
+    of the tree are made where the rows then lie.
     """
-    leaf = rows.groupBy(*keys, F.substring(hash_col, 1, digits).alias("leaf")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(hash_col)), ""), 256).alias("h"))
-    leaves = F.array_sort(F.collect_list(F.struct("leaf", "h")))
-    return leaf.groupBy(*keys).agg(F.sum("n").alias("record_count"), F.sha2(F.array_join(F.transform(leaves, lambda x: x["h"]), ""), 256).alias("content_hash"))
+    digest = lambda items: F.sha2(F.array_join(items, ""), 256)
+    level = lambda: digest(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda x: x["_h"])).alias("_h")
+    start = F.substring(hash_col, 1, 3).alias("_top")
+    spread = rows.select(*keys, start, F.substring(hash_col, 1, 6).alias("_at"), F.col(hash_col).alias("_h")).repartition(*keys, "_top")
+    leaf = spread.groupBy(*keys, "_top", "_at").agg(F.count("*").alias("_n"), digest(F.array_sort(F.collect_list("_h"))).alias("_h"))
+    node = leaf.groupBy(*keys, "_top").agg(F.sum("_n").alias("_n"), level()).withColumnRenamed("_top", "_at")
+    return node.groupBy(*keys).agg(F.sum("_n").alias("record_count"), level()).withColumnRenamed("_h", "content_hash")
 
 
 def chain_hash(rows: DataFrame, keys: Sequence[str], order: str, payload: Column) -> DataFrame:

@@ -55,6 +55,12 @@ def variant_tag(value: Column) -> Column:
     )
 
 
+def is_object(text: Column) -> Column:
+    """Whether a text is a JSON object without duplicate keys."""
+    v = F.try_parse_json(text)
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def matches_declared(tag: Column, declared: Column) -> Column:
     """Whether a non-null value's tag satisfies a declared schema type: ``number`` takes integers too."""
     return (tag == declared) | ((declared == "number") & (tag == "integer"))

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the folder all executors share (``spark.checkpoint.dir``; a private one where it is unset)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is unset, a private one serves a local master; a cluster is refused."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="ledgerframe-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerframe-"))
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the shared folder. Spark deletes it with its frame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

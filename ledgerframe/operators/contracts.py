@@ -18,7 +18,7 @@ from ..plans.errors import ValidationError
 
 RULES_VERSION, COMPATIBILITY_RULES_VERSION = "1.0.0", "1.0.0"
 # Bounds of a definition.
-MAX_FIELDS, MAX_ROWS = 200, 10_000_000
+MAX_FIELDS, MAX_ROWS, MAX_NAME, MAX_DESCRIPTION, MAX_TYPES = 200, 10_000_000, 200, 4_000, 6
 CONTRACTS = "contract_id string, dataset_id string, allow_extra boolean, min_rows long, max_rows long, max_duplicate_rate double"
 FIELDS = "contract_id string, field string, types array<string>, required boolean, nullable boolean, max_missing_rate double, unique boolean"
 
@@ -37,20 +37,29 @@ def _rate(x: Any, name: str) -> float:
     return float(x)
 
 
+def contract_title(name: Any, description: Any = None) -> tuple[str, str | None]:
+    """A contract's checked name, without white space around it, and description."""
+    _require(isinstance(name, str) and len(name) <= MAX_NAME and bool(name.strip()), f"name must have 1 to {MAX_NAME} characters")
+    _require(description is None or (isinstance(description, str) and len(description) <= MAX_DESCRIPTION), f"description must have at most {MAX_DESCRIPTION} characters")
+    return name.strip(), description
+
+
 def normalise_contract(definition: Mapping[str, Any]) -> dict[str, Any]:
-    """A checked definition with sorted fields and types and all defaults filled in."""
+    """A checked definition with sorted fields and types and all defaults filled in. Names of fields lose white space around them and must then differ."""
     _require(isinstance(definition, Mapping), "a contract is an object")
     known = {"fields", "allow_extra", "min_rows", "max_rows", "max_duplicate_rate"}
     _require(not set(definition) - known, f"unknown keys: {sorted(set(definition) - known)}")
     fields = definition.get("fields")
     _require(isinstance(fields, Mapping) and 1 <= len(fields) <= MAX_FIELDS, f"a contract has 1 to {MAX_FIELDS} fields")
     out: dict[str, Any] = {}
-    for name in sorted(fields):
-        rule = fields[name]
-        _require(isinstance(name, str) and bool(name.strip()), "a field needs a name")
+    _require(all(isinstance(f, str) and 1 <= len(f.strip()) <= MAX_NAME for f in fields), f"names of fields must have 1 to {MAX_NAME} characters")
+    _require(len({f.strip() for f in fields}) == len(fields), "two fields have the same name")
+    for name, rule in sorted(((f.strip(), rule) for f, rule in fields.items()), key=lambda x: x[0]):
         _require(isinstance(rule, Mapping) and not set(rule) - {"types", "required", "nullable", "max_missing_rate", "unique"}, f"bad rule of {name}")
-        types = sorted(set(rule.get("types") or ()))
-        _require(bool(types) and set(types) <= set(OBSERVABLE), f"types of {name} must come from {', '.join(OBSERVABLE)}")
+        types = rule.get("types")
+        _require(isinstance(types, (list, tuple)) and 1 <= len(types) <= MAX_TYPES and all(isinstance(x, str) for x in types), f"types of {name} must be a list of 1 to {MAX_TYPES}")
+        types = sorted(set(types))
+        _require( set(types) <= set(OBSERVABLE), f"types of {name} must come from {', '.join(OBSERVABLE)}")
         flags = {k: rule.get(k, default) for k, default in (("required", True), ("nullable", False), ("unique", False))}
         _require(all(isinstance(v, bool) for v in flags.values()), f"flags of {name} must be boolean")
         out[name] = {"types": types, **flags, "max_missing_rate": _rate(rule.get("max_missing_rate", 0.0), f"max_missing_rate of {name}")}

@@ -1,17 +1,19 @@
 """Analyses of the version graph: downstream impact, provenance closure, impact dossier, lineage evolution.
 
 Each takes the registry's tables (see ``provenance``) and returns its parts as DataFrames with a one-row summary, so parts of any size
-stay distributed. Requested ids are few, by contract.
+stay distributed. Requested ids are few, by contract. ``contents`` may be a function of a frame of version_ids: then only the versions that an
+analysis reaches are hashed again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import content_hash
 from ..functions.lineage import settle
 from ..functions.rules import verdict
 from . import graph
@@ -103,10 +105,15 @@ def _issue(code: Column | str, kind: str, resource: Column, reference: Column |
     return [(F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit(kind).alias("resource_type"), resource.alias("resource_id"), (reference if reference is not None else F.lit(None)).cast("string").alias("reference_id")]
 
 
+def _checked(versions, datasets, sources, contents: DataFrame | Callable[[DataFrame], DataFrame], nodes: DataFrame) -> DataFrame:
+    ids = nodes.select(F.col("node").alias("version_id"))
+    return version_integrity(versions, datasets, sources, contents(ids) if callable(contents) else contents, ids)
+
+
 def _integrity(versions, datasets, sources, contents, links, nodes) -> DataFrame:
     """resource_type, resource_id, issues of the versions in ``nodes``, what they reference and ``links``; references that are missing are left to the caller."""
     mine = versions.join(nodes.withColumnRenamed("node", "version_id"), "version_id", "left_semi")
-    own = version_integrity(versions, datasets, sources, contents).join(mine.select("version_id"), "version_id", "left_semi")
+    own = _checked(versions, datasets, sources, contents, nodes)
     gone = F.array(F.lit("dataset_reference_missing"), F.lit("source_reference_missing"), F.lit("previous_version_reference_missing"))
     v = own.select(F.lit("dataset_version").alias("resource_type"), F.col("version_id").alias("resource_id"), F.array_except("issues", gone).alias("issues"))
     d = descriptor_integrity(datasets.join(mine.select("dataset_id"), "dataset_id", "left_semi"), "dataset_id", "dataset_hash", "dataset")
@@ -118,10 +125,11 @@ def _breaks(integrity: DataFrame) -> DataFrame:
     return integrity.select("resource_type", "resource_id", F.explode("issues").alias("code"))
 
 
-def provenance_closure(versions, datasets, sources, contents, links, requested: Sequence[str]) -> Report:
+def provenance_closure(versions, datasets, sources, contents, links, requested: Sequence[str], chains: bool = True) -> Report:
     """Everything upstream of the requested versions, over lineage links and predecessors, verified.
 
-    Parts: closure, missing_references, cycles, integrity, breaks, unused (versions of involved datasets outside the closure). The
+    Parts: closure, missing_references, cycles, integrity, breaks, unused (versions of involved datasets outside the closure) and, unless
+    ``chains`` is off, chains: all simple upstream paths, whose number may grow exponentially with the graph's width. The
     snapshot hash covers integrity and unused versions too, so a later append or tampering gives a new report.
     """
     spark = versions.sparkSession
@@ -140,8 +148,8 @@ def provenance_closure(versions, datasets, sources, contents, links, requested:
     integrity = _integrity(versions, datasets, sources, contents, involved, closure)
     cycles = _cycles(_within(edges, closure))
     unused = settle(versions.join(mine.select("dataset_id"), "dataset_id", "left_semi").select(F.col("version_id").alias("node")).join(closure, "node", "left_anti"))
-    parts = graph.components(_within(edges, closure).select("src", "dst"), closure)
-    requested_here = asked.select("node").join(parts, "node")
+    labels = graph.components(_within(edges, closure).select("src", "dst"), closure)
+    requested_here = asked.select("node").join(labels, "node")
     summary = _row(
         closure.agg(F.count("*").alias("closure_version_count")), mine.agg(F.countDistinct("dataset_id").alias("dataset_count"), F.countDistinct("source_id").alias("source_count")),
         _count(involved, "lineage_link_count"), requested_here.agg(F.countDistinct("component").alias("connected_component_count")), _count(missing, "missing_count"),
@@ -154,7 +162,10 @@ def provenance_closure(versions, datasets, sources, contents, links, requested:
         (F.lit(n == 1) & (F.col("_ancestry") == 0), "INSUFFICIENT"), (F.col("unused_count") > 0, "PARTIAL"), otherwise="COMPLETE",
     )
     summary = summary.withColumn("requested_version_count", F.lit(n)).withColumn("qualification", q).drop("_ancestry")
-    return Report(summary, {"closure": closure, "missing_references": missing, "cycles": cycles, "integrity": integrity, "breaks": _breaks(integrity), "unused": unused})
+    parts = {"closure": closure, "missing_references": missing, "cycles": cycles, "integrity": integrity, "breaks": _breaks(integrity), "unused": unused}
+    if chains:
+        parts["chains"] = closure_chains(versions, sources, links, requested)
+    return Report(summary, parts)
 
 
 def closure_chains(versions, sources, links, requested: Sequence[str], max_depth: int | None = None) -> DataFrame:
@@ -169,10 +180,9 @@ def closure_chains(versions, sources, links, requested: Sequence[str], max_depth
 
 
 def _digest(lines: DataFrame) -> DataFrame:
-    """One row, snapshot_hash: order-insensitive, by leaves of row hashes."""
-    hashed = lines.select(F.sha2(lines.columns[0], 256).alias("h"))
-    leaf = hashed.groupBy(F.substring("h", 1, 2).alias("leaf")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return leaf.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "d"))), lambda x: x["d"]), ""), 256).alias("snapshot_hash"))
+    """One row, snapshot_hash: order-insensitive, by a tree of row hashes."""
+    hashed = lines.select(F.lit("").alias("k"), F.sha2(lines.columns[0], 256).alias("h"))
+    return content_hash(hashed, ["k"], "h").agg(F.coalesce(F.max("content_hash"), F.sha2(F.lit(""), 256)).alias("snapshot_hash"))
 
 
 def impact_dossier(versions, datasets, sources, contents, links, version_ids: Sequence[str] = (), dataset_ids: Sequence[str] = ()) -> Report:
@@ -254,7 +264,7 @@ def lineage_evolution(versions, datasets, sources, contents, links, version_ids:
     known = versions.select(F.col("version_id").alias("node"), "dataset_id")
     inner = edges.join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
     found = settle(graph.bfs(inner, roots.select(F.col("version_id").alias("root"), F.col("version_id").alias("node"))))
-    all_issues = settle(version_integrity(versions, datasets, sources, contents).where(F.size("issues") > 0))
+    all_issues = settle(_checked(versions, datasets, sources, contents, settle(found.select("node").distinct())).where(F.size("issues") > 0))
     link_issues = settle(link_integrity(links, versions).where(F.size("issues") > 0))
     affected = found.where("root <> node").join(known, "node").select("root", F.col("node").alias("version_id"), "dataset_id", "depth", F.col("path").alias("version_path"), F.col("links").alias("lineage_link_path"))
     used = found.select("root", F.col("node").alias("src")).join(edges, "src")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontypes import static_tag, variant_tag
+from ..functions.jsontypes import is_object, static_tag, variant_tag
 
 FIELD_COLUMNS = ("field", "rows", "present", "nulls", "non_null", "distinct_values", "types")
 
@@ -68,19 +68,26 @@ def cells(records: DataFrame, keys: Sequence[str], json_col: str = "record", row
 
 def bad_records(records: DataFrame, json_col: str = "record") -> DataFrame:
     """Records that are not JSON objects, or hold duplicate keys or no valid JSON."""
-    v = F.try_parse_json(F.col(json_col))
-    return records.where(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"))
+    return records.where(~is_object(F.col(json_col)))
 
 
-def cell_profile(records: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``field_profile`` of the JSON lane: ``present`` counts the records that have the field at all."""
+def cell_profile(records: DataFrame, found: DataFrame, keys: Sequence[str], unique: Sequence[str] = ()) -> DataFrame:
+    """``field_profile`` of the JSON lane: ``present`` counts the records that have the field at all.
+
+    ``distinct_values`` is null but for the fields in ``unique``: only their values are shuffled.
+    """
     rows = records.groupBy(*keys).agg(F.count("*").alias("rows"))
-    per = found.groupBy(*keys, "field").agg(
+    out = found.groupBy(*keys, "field").agg(
         F.count("*").alias("present"), F.count_if(F.col("tag").isNull()).alias("nulls"), F.count("tag").alias("non_null"),
         F.array_sort(F.collect_set("tag")).alias("types"),
     )
-    distinct = found.where("tag is not null").select(*keys, "field", "tag", "value").distinct().groupBy(*keys, "field").agg(F.count("*").alias("distinct_values"))
-    return per.join(distinct, [*keys, "field"], "left").join(rows, list(keys)).withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0))).select(*keys, *FIELD_COLUMNS)
+    if unique:
+        wanted = found.where(F.col("tag").isNotNull() & F.col("field").isin(*unique))
+        distinct = wanted.select(*keys, "field", "tag", "value").distinct().groupBy(*keys, "field").agg(F.count("*").alias("distinct_values"))
+        out = out.join(distinct, [*keys, "field"], "left").withColumn("distinct_values", F.when(F.col("field").isin(*unique), F.coalesce("distinct_values", F.lit(0))))
+    else:
+        out = out.withColumn("distinct_values", F.lit(None).cast("long"))
+    return out.join(rows, list(keys)).select(*keys, *FIELD_COLUMNS)
 
 
 def missing_of(profile: DataFrame) -> DataFrame:

@@ -26,13 +26,17 @@ def _said(key: str) -> Column:
     return F.get_json_object("manifest", f"$.{key}")
 
 
-def version_integrity(versions: DataFrame, datasets: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFrame:
-    """version_id, issues (sorted codes): every check of a version, its manifest and its stored predecessor, once for all analyses."""
+def version_integrity(versions: DataFrame, datasets: DataFrame, sources: DataFrame, contents: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """version_id, issues (sorted codes): every check of a version, its manifest and its stored predecessor, once for all analyses.
+
+    ``of`` (version_id) limits the check to some versions; then ``contents`` needs only theirs.
+    """
     d = datasets.select(F.col("dataset_id"), F.col("dataset_hash").alias("_dh"))
     s = sources.select(F.col("source_id"), F.col("source_hash").alias("_sh"))
     c = contents.select("version_id", F.col("record_count").alias("_rc"), F.col("content_hash").alias("_ch"))
     p = versions.select(F.col("version_id").alias("previous_version_id"), F.col("dataset_id").alias("_pd"), F.col("version_number").alias("_pn"), F.col("provenance_hash").alias("_pp"))
-    v = versions.join(c, "version_id", "left").join(d, "dataset_id", "left").join(s, "source_id", "left").join(p, "previous_version_id", "left")
+    own = versions if of is None else versions.join(of.select("version_id"), "version_id", "left_semi")
+    v = own.join(c, "version_id", "left").join(d, "dataset_id", "left").join(s, "source_id", "left").join(p, "previous_version_id", "left")
     has_previous = F.col("previous_version_id").isNotNull()
     found = has_previous & F.col("_pn").isNotNull()
     text = lambda k: F.col(k).cast("string")
@@ -70,29 +74,32 @@ def link_integrity(links: DataFrame, versions: DataFrame) -> DataFrame:
     return l.select(F.lit("lineage_link").alias("resource_type"), F.col("id").alias("resource_id"), issues.alias("issues"))
 
 
-def verify_chain(versions: DataFrame, contents: DataFrame) -> DataFrame:
-    """Each dataset's chain by order of version_number: version_id, dataset_id, version_number, issues.
+def verify_chain(versions: DataFrame, datasets: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFrame:
+    """Each dataset's chain by order of version_number: version_id, dataset_id, version_number, issues (sorted).
 
-    Here the predecessor is the one before in order, whatever the version stores.
+    All checks of ``version_integrity``, and that the predecessor a version states, in its row and its manifest, is the one before it in order.
     """
-    order = Window.partitionBy("dataset_id").orderBy("version_number")
-    v = versions.join(contents.select("version_id", F.col("record_count").alias("_rc"), F.col("content_hash").alias("_ch")), "version_id", "left")
-    v = v.withColumn("_before", F.lag("version_id").over(order)).withColumn("_proof", F.lag("provenance_hash").over(order))
-    issues = fired(
-        ("content_hash_mismatch", ~F.col("content_hash").eqNullSafe(F.col("_ch"))),
-        ("record_count_mismatch", ~F.col("record_count").eqNullSafe(F.col("_rc"))),
-        ("provenance_hash_mismatch", F.sha2("manifest", 256) != F.col("provenance_hash")),
+    order = Window.partitionBy("dataset_id").orderBy("version_number", "version_id")
+    v = versions.withColumn("_before", F.lag("version_id").over(order)).withColumn("_proof", F.lag("provenance_hash").over(order))
+    in_order = fired(
         ("previous_version_mismatch", ~F.col("previous_version_id").eqNullSafe(F.col("_before"))),
+        ("manifest_previous_version_id_mismatch", ~_said("previous_version_id").eqNullSafe(F.col("_before"))),
         ("previous_provenance_hash_mismatch", ~_said("previous_provenance_hash").eqNullSafe(F.col("_proof"))),
     )
-    return v.select("version_id", "dataset_id", "version_number", issues.alias("issues"))
+    own = version_integrity(versions, datasets, sources, contents)
+    out = v.select("version_id", "dataset_id", "version_number", in_order.alias("_order")).join(own, "version_id")
+    return out.select("version_id", "dataset_id", "version_number", F.array_sort(F.array_union("issues", "_order")).alias("issues"))
 
 
-def verify_version(versions: DataFrame, contents: DataFrame, version_id: str) -> DataFrame:
-    """One row: version_id, valid, checked_versions, issues of the version and all before it in its dataset."""
+def chain_upto(versions: DataFrame, version_id: str) -> DataFrame:
+    """A version's row and those of all before it in its dataset."""
     target = versions.where(F.col("version_id") == version_id).select("dataset_id", F.col("version_number").alias("_n"))
-    upto = versions.join(target, "dataset_id").where(F.col("version_number") <= F.col("_n")).drop("_n")
-    found = verify_chain(upto, contents.join(upto.select("version_id"), "version_id", "left_semi"))
+    return versions.join(F.broadcast(target), "dataset_id").where(F.col("version_number") <= F.col("_n")).drop("_n")  # one row
+
+
+def verify_version(versions: DataFrame, datasets: DataFrame, sources: DataFrame, contents: DataFrame, version_id: str) -> DataFrame:
+    """One row: version_id, valid, checked_versions, issues (version:code) of the version and all before it in its dataset."""
+    found = verify_chain(chain_upto(versions, version_id), datasets, sources, contents)
     found = found.select(F.col("issues").alias("_i"), F.transform("issues", lambda c: F.concat("version_id", F.lit(":"), c)).alias("_t"))
     texts = F.array_sort(F.flatten(F.collect_list("_t")))
     return found.agg(F.lit(version_id).alias("version_id"), F.coalesce(F.max(F.size("_i")) == 0, F.lit(False)).alias("valid"), F.count("*").alias("checked_versions"), texts.alias("issues"))

@@ -1,7 +1,11 @@
 """The registry's verbs over a SparkSession.
 
 Ids are derived from content, so replays give the same ids. Reports are idempotent on their key: asking again
-returns the stored row and writes no audit event. Nothing is ever updated or deleted; tampering is found by verification.
+returns the stored row and writes no audit event. Nothing visible is ever updated or deleted; tampering is found by verification.
+
+A call that dies leaves nothing wrong behind. What it wrote before the row that makes a version or report visible is replaced when the call
+is repeated; what should have followed that row (audit events, the first evaluation) is made up for by the repeated call, or by
+the next version of the dataset.
 """
 
 from __future__ import annotations
@@ -15,19 +19,22 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, content_hash, hash_json, row_hash, sha256_text
+from ..functions.jsontypes import is_object
 from ..functions.lineage import settle
 from ..operators import contracts as contract_ops
 from ..operators import drift as drift_ops
 from ..operators import lineage as lineage_ops
 from ..operators import quality as quality_ops
-from ..operators.profile import bad_records, cell_profile, cells
-from ..operators.provenance import LINK_RULES, link_hash, verify_version
+from ..operators.profile import cell_profile, cells
+from ..operators.provenance import LINK_RULES, chain_upto, link_hash, verify_version
 from ..sources.records import from_objects, from_rows
 from ..sources.tables import Tables
 from .errors import ConflictError, NotFoundError, ValidationError
 
 FORMAT = "ledgerframe.version/1.0"
 # Bounds of requests.
+#: Up to so many versions the folders of their records are named in the scan; beyond, records are joined with the versions.
+NAMED_FOLDERS = 1_000
 PAGE, PAGE_DEFAULT, CLOSURE_IDS, DOSSIER_IDS, EVOLUTION_IDS, DEPTHS = (1, 500), 100, (1, 50), (1, 50), (2, 100), (1, 10)
 ORDERS = {
     "sources": ("created_at", "source_id"), "datasets": ("created_at", "dataset_id"), "versions": ("-version_number",), "contracts": ("-version_number",),
@@ -64,6 +71,11 @@ class Registry:
         last = self.tables.read("audit").agg(F.max("sequence")).first()[0] or 0
         self.tables.append("audit", [(last + 1, action, kind, resource, actor, canonical_json(dict(details or {})), dt.datetime.now(dt.timezone.utc))])
 
+    def _log_once(self, action: str, kind: str, resource: str, actor: str, details: Mapping[str, Any] | None = None) -> None:
+        """The audit event of a creation, unless it is there."""
+        if self.tables.one("audit", action=action, resource_id=resource) is None:
+            self._audit(action, kind, resource, actor, details)
+
     def get(self, table: str, /, **key: str) -> Row:
         row = self.tables.one(table, **key)
         if row is None:
@@ -90,7 +102,8 @@ class Registry:
         d = {"name": _text(name, "name"), "kind": _text(kind, "kind"), "uri": uri, "description": description, "metadata": dict(metadata or {})}
         text = canonical_json(d)
         digest = sha256_text(text)
-        if self.tables.one("sources", source_hash=digest):
+        if old := self.tables.one("sources", source_hash=digest):
+            self._log_once("SOURCE_CREATED", "source", old.source_id, actor)
             raise ConflictError("this source exists")
         key = f"src-{digest[:24]}"
         self.tables.append("sources", [(key, d["name"], d["kind"], text, digest, _now())])
@@ -102,7 +115,8 @@ class Registry:
         d = {"name": _text(name, "name"), "description": description, "schema": spec}
         text = canonical_json(d)
         digest = sha256_text(text)
-        if self.tables.one("datasets", name=d["name"]) or self.tables.one("datasets", dataset_hash=digest):
+        if old := self.tables.one("datasets", name=d["name"]) or self.tables.one("datasets", dataset_hash=digest):
+            self._log_once("DATASET_CREATED", "dataset", old.dataset_id, actor)
             raise ConflictError("a dataset of this name exists")
         key = f"ds-{digest[:24]}"
         self.tables.append("datasets", [(key, d["name"], text, canonical_json(spec) if spec else None, digest, _now())])
@@ -125,36 +139,52 @@ class Registry:
             rows = from_objects(self.spark, records)
         else:
             rows = records if set(records.columns) == {"row_index", "record"} else from_rows(records, index_col)
-        if not bad_records(rows).isEmpty():
-            raise ValidationError("every record must be a JSON object")
         previous = self.tables.read("versions").where(F.col("dataset_id") == dataset_id).orderBy(F.desc("version_number")).first()
+        died = previous is not None and self.tables.one("audit", action="QUALITY_EVALUATED", resource_id=previous.version_id) is None
+        if died:
+            self._finish(previous, dataset, actor)
         number = previous.version_number + 1 if previous else 1
         key = f"v-{hash_json([dataset_id, number, previous.provenance_hash if previous else None])[:24]}"
-        self.tables.append("records", rows.select(F.lit(key).alias("version_id"), "row_index", "record", row_hash(F.col("record")).alias("record_hash")))
-        content = self.contents([key]).first()
+        # One pass over the input. The folder is this version's alone, so what a call that died left there goes first.
+        self.tables.clear("records", key)
+        self.tables.append("records", rows.select(F.lit(key).alias("version_id"), "row_index", "record", row_hash(F.col("record")).alias("record_hash"), is_object(F.col("record")).alias("valid")))
+        stored = self.tables.read("records").where(F.col("version_id") == key)
+        if not stored.where("not valid").isEmpty():
+            self.tables.clear("records", key)
+            raise ValidationError("every record must be a JSON object")
+        content = content_hash(stored.select("version_id", "record_hash"), ["version_id"], "record_hash").first()
         count, digest = (content.record_count, content.content_hash) if content else (0, sha256_text(""))
+        if died and (previous.source_id, previous.record_count, previous.content_hash) == (source_id, count, digest):
+            # The call that died is being repeated: its version was there already.
+            self.tables.clear("records", key)
+            return previous
         at = _now()
         manifest = canonical_json({
             "format": FORMAT, "version_id": key, "dataset_id": dataset_id, "dataset_hash": dataset.dataset_hash, "source_id": source_id, "source_hash": source.source_hash, "version_number": number, "record_count": count,
             "content_hash": digest, "previous_version_id": previous.version_id if previous else None, "previous_provenance_hash": previous.provenance_hash if previous else None, "created_at": at,
         })
         self.tables.append("versions", [(key, dataset_id, source_id, number, previous.version_id if previous else None, count, digest, manifest, sha256_text(manifest), at)])
-        self._audit("VERSION_CREATED", "dataset_version", key, actor, {"record_count": count})
-        self._evaluate(key, dataset, True, actor)
-        return self.get("versions", version_id=key)
-
-    def contents(self, version_ids: Sequence[str] | None = None) -> DataFrame:
-        """version_id, record_count, content_hash recomputed from the stored records; versions without rows included."""
-        records, versions = self.tables.read("records"), self.tables.read("versions")
-        if version_ids is not None:
-            records = records.where(F.col("version_id").isin(*version_ids))
-            versions = versions.where(F.col("version_id").isin(*version_ids))
-        hashed = records.select("version_id", row_hash(F.col("record")).alias("h"))
-        found = content_hash(hashed, ["version_id"], "h")
-        if version_ids is not None:
-            ids = self.spark.createDataFrame([(v,) for v in version_ids], "version_id string")
+        version = self.get("versions", version_id=key)
+        self._finish(version, dataset, actor)
+        return version
+
+    def _finish(self, version: Row, dataset: Row, actor: str) -> None:
+        """What follows a version's row: its audit event, its first evaluation and that one's event, each unless it is there."""
+        self._log_once("VERSION_CREATED", "dataset_version", version.version_id, actor, {"record_count": version.record_count})
+        found = self.tables.one("evaluations", version_id=version.version_id)
+        if found is None:
+            self._evaluate(version.version_id, dataset, True, actor)
         else:
-            ids = versions.select("version_id")
+            self._log_once("QUALITY_EVALUATED", "dataset_version", version.version_id, actor, {"verdict": found.verdict, "recheck": False})
+
+    def contents(self, nodes: DataFrame | None = None) -> DataFrame:
+        """version_id, record_count, content_hash recomputed from the stored records, of the versions in ``nodes`` (version_id) or all; versions without rows included."""
+        records, ids = self.tables.read("records"), self.tables.read("versions").select("version_id")
+        if nodes is not None:
+            ids = ids.join(nodes.select("version_id"), "version_id", "left_semi")
+            few = [r.version_id for r in ids.limit(NAMED_FOLDERS + 1).collect()]
+            records = records.where(F.col("version_id").isin(*few)) if len(few) <= NAMED_FOLDERS else records.join(ids, "version_id", "left_semi")
+        found = content_hash(records.select("version_id", row_hash(F.col("record")).alias("h")), ["version_id"], "h")
         return ids.join(found, "version_id", "left").select("version_id", F.coalesce("record_count", F.lit(0)).alias("record_count"), F.coalesce("content_hash", F.sha2(F.lit(""), 256)).alias("content_hash"))
 
     def get_version(self, version_id: str, include_records: bool = False) -> dict[str, Any]:
@@ -168,14 +198,14 @@ class Registry:
         self.get("versions", version_id=version_id)
         return self.tables.read("records").where(F.col("version_id") == version_id).select("version_id", "row_index", "record")
 
-    def profile(self, version_ids: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """Table and field profiles (version_id key) of stored versions, computed once."""
+    def profile(self, version_ids: Sequence[str], unique: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+        """Table and field profiles (version_id key) of stored versions, computed once; distinct values of the fields in ``unique`` only."""
         ids = self.spark.createDataFrame([(v,) for v in version_ids], "version_id string")
         rows = self.tables.read("records").where(F.col("version_id").isin(*version_ids)).select("version_id", "row_index", "record")
-        folded = rows.groupBy("version_id", "record").agg(F.count("*").alias("n")).groupBy("version_id").agg(F.sum("n").alias("rows"), F.count("*").alias("unique_rows"))
+        folded = rows.groupBy("version_id", row_hash(F.col("record")).alias("h")).agg(F.count("*").alias("n")).groupBy("version_id").agg(F.sum("n").alias("rows"), F.count("*").alias("unique_rows"))
         tables = ids.join(folded, "version_id", "left").fillna(0, ["rows", "unique_rows"])
         tables = tables.withColumn("duplicate_rows", F.col("rows") - F.col("unique_rows")).withColumn("duplicate_rate", F.try_divide(F.col("duplicate_rows").cast("double"), F.col("rows")))
-        return settle(tables), settle(cell_profile(rows, cells(rows, ["version_id"]), ["version_id"]))
+        return settle(tables), settle(cell_profile(rows, cells(rows, ["version_id"]), ["version_id"], unique))
 
     # Quality
 
@@ -211,36 +241,43 @@ class Registry:
         return quality_ops.shown(quality_ops.violations(self.records(version_id), ["version_id"], spec.get("fields") or {}, spec.get("allow_extra", True)), ["version_id"])
 
     def verify_provenance(self, version_id: str) -> Row:
+        """version_id, valid, checked_versions, issues of the version and all before it in its dataset."""
         version = self.get("versions", version_id=version_id)
         mine = self.tables.read("versions").where(F.col("dataset_id") == version.dataset_id)
-        ids = [r.version_id for r in mine.where(F.col("version_number") <= version.version_number).select("version_id").collect()]
-        return verify_version(mine, self.contents(ids), version_id).first()
+        contents = self.contents(chain_upto(mine, version_id).select("version_id"))
+        return verify_version(mine, self.tables.read("datasets"), self.tables.read("sources"), contents, version_id).first()
 
     # Drift and contracts
 
+    def _logged(self, report: Row, action: str, kind: str, actor: str) -> Row:
+        """A stored report, with the audit event of its creation written if it isn't there."""
+        said = "verdict" if "verdict" in report else "qualification"
+        self._log_once(action, kind, report.report_id, actor, {said: report[said]})
+        return report
+
     def create_drift_report(self, baseline: str, candidate: str, actor: str = "system") -> Row:
         b, c = self.get("versions", version_id=baseline), self.get("versions", version_id=candidate)
         if b.dataset_id != c.dataset_id or b.version_number >= c.version_number:
             raise ValidationError("the baseline must be an earlier version of the same dataset")
         key = {"baseline": baseline, "candidate": candidate, "rules_version": drift_ops.RULES_VERSION}
         if found := self.tables.one("drift_reports", **key):
-            return found
+            return self._logged(found, "DRIFT_REPORT_CREATED", "drift_report", actor)
         tables, fields = self.profile([baseline, candidate])
         row = drift_ops.drift_report(self.spark.createDataFrame([(baseline, candidate)], "baseline string, candidate string"), tables, fields).first().asDict()
         metrics = canonical_json({k: v for k, v in row.items() if k not in ("triggers", "insufficient_reasons", "verdict")})
         digest = hash_json([b.dataset_id, baseline, candidate, b.content_hash, c.content_hash, row["verdict"], metrics, drift_ops.RULES_VERSION])
         self.tables.append("drift_reports", [(f"dr-{digest[:24]}", b.dataset_id, baseline, candidate, row["verdict"], row["triggers"], row["insufficient_reasons"], metrics, digest, drift_ops.RULES_VERSION, _now())])
-        self._audit("DRIFT_REPORT_CREATED", "drift_report", f"dr-{digest[:24]}", actor, {"verdict": row["verdict"]})
-        return self.tables.one("drift_reports", **key)
+        return self._logged(self.tables.one("drift_reports", **key), "DRIFT_REPORT_CREATED", "drift_report", actor)
 
-    def create_data_contract(self, dataset_id: str, name: str, definition: Mapping[str, Any], actor: str = "system") -> Row:
+    def create_data_contract(self, dataset_id: str, name: str, definition: Mapping[str, Any], actor: str = "system", description: str | None = None) -> Row:
         self.get("datasets", dataset_id=dataset_id)
+        name, description = contract_ops.contract_title(name, description)
         d = contract_ops.normalise_contract(definition)
         last = self.tables.read("contracts").where(F.col("dataset_id") == dataset_id).orderBy(F.desc("version_number")).first()
         number, before = (last.version_number + 1, last.contract_hash) if last else (1, None)
-        digest = hash_json({"format": "ledgerframe.contract/1.0", "dataset_id": dataset_id, "version_number": number, "previous_contract_hash": before, "definition": d})
+        digest = hash_json({"format": "ledgerframe.contract/1.0", "dataset_id": dataset_id, "version_number": number, "previous_contract_hash": before, "name": name, "description": description, "definition": d})
         key = f"ct-{digest[:24]}"
-        self.tables.append("contracts", [(key, dataset_id, _text(name, "name"), number, before, digest, canonical_json(d), _now())])
+        self.tables.append("contracts", [(key, dataset_id, name, number, before, digest, canonical_json(d), _now())])
         self._audit("DATA_CONTRACT_CREATED", "data_contract", key, actor)
         return self.get("contracts", contract_id=key)
 
@@ -253,24 +290,24 @@ class Registry:
             raise ValidationError("contract and version belong to different datasets")
         key = {"contract_id": contract_id, "version_id": version_id, "rules_version": contract_ops.RULES_VERSION}
         if found := self.tables.one("contract_reports", **key):
-            return found
+            return self._logged(found, "CONTRACT_REPORT_CREATED", "contract_report", actor)
         heads, rules = self._contract_frames(contract)
-        tables, fields = self.profile([version_id])
+        unique = [f for f, r in json.loads(contract.definition)["fields"].items() if r["unique"]]
+        tables, fields = self.profile([version_id], unique)
         checks = self.spark.createDataFrame([(contract_id, version_id)], "contract_id string, version_id string")
         found = contract_ops.contract_violations(checks, heads, rules, tables, fields)
         v = contract_ops.contract_verdict(checks, found, tables).first()
         listed = [(r.code, r.field, r.observed, r.expected) for r in found.orderBy("field", "code").collect()]  # by fields: bounded by the contract and the version's fields
         digest = hash_json([contract_id, contract.contract_hash, version_id, version.content_hash, v.verdict, listed, list(v.insufficient_reasons), contract_ops.RULES_VERSION])
         self.tables.append("contract_reports", [(f"cr-{digest[:24]}", contract_id, version_id, v.verdict, listed, list(v.insufficient_reasons), digest, contract_ops.RULES_VERSION, _now())])
-        self._audit("CONTRACT_REPORT_CREATED", "contract_report", f"cr-{digest[:24]}", actor, {"verdict": v.verdict})
-        return self.tables.one("contract_reports", **key)
+        return self._logged(self.tables.one("contract_reports", **key), "CONTRACT_REPORT_CREATED", "contract_report", actor)
 
     def create_contract_compatibility_report(self, baseline: str, candidate: str, actor: str = "system") -> Row:
         b, c = self.get("contracts", contract_id=baseline), self.get("contracts", contract_id=candidate)
         evidence = hash_json([b.contract_hash, c.contract_hash])
         key = {"baseline": baseline, "candidate": candidate, "evidence_hash": evidence, "rules_version": contract_ops.COMPATIBILITY_RULES_VERSION}
         if found := self.tables.one("compatibility_reports", **key):
-            return found
+            return self._logged(found, "CONTRACT_COMPATIBILITY_REPORT_CREATED", "contract_compatibility_report", actor)
         heads, rules = self._contract_frames(b, c)
         pair = self.spark.createDataFrame([(baseline, candidate)], "baseline string, candidate string")
         v = contract_ops.compatibility(pair, heads, rules).first()
@@ -281,8 +318,7 @@ class Registry:
         changes = sorted(((r.scope, r.constraint, r.field, r.direction) for r in contract_ops.compatibility_changes(pair, heads, rules).collect()), key=str)
         digest = hash_json([evidence, v.qualification, v.backward, v.forward, reasons, changes, list(v.insufficient_reasons)])
         self.tables.append("compatibility_reports", [(f"cc-{digest[:24]}", baseline, candidate, v.qualification, v.backward, v.forward, reasons, changes, list(v.insufficient_reasons), evidence, digest, contract_ops.COMPATIBILITY_RULES_VERSION, _now())])
-        self._audit("CONTRACT_COMPATIBILITY_REPORT_CREATED", "contract_compatibility_report", f"cc-{digest[:24]}", actor, {"qualification": v.qualification})
-        return self.tables.one("compatibility_reports", **key)
+        return self._logged(self.tables.one("compatibility_reports", **key), "CONTRACT_COMPATIBILITY_REPORT_CREATED", "contract_compatibility_report", actor)
 
     # Lineage
 
@@ -294,6 +330,7 @@ class Registry:
         u, d = self.get("versions", version_id=upstream), self.get("versions", version_id=downstream)
         key = {"upstream_version_id": upstream, "downstream_version_id": downstream, "relation_type": relation}
         if found := self.tables.one("links", **key):
+            self._log_once("LINEAGE_LINK_CREATED", "lineage_link", found.id, actor)
             return found
         digest = self.spark.range(1).select(link_hash(*map(F.lit, (upstream, u.content_hash, downstream, d.content_hash, relation)))).first()[0]
         self.tables.append("links", [(f"ln-{digest[:24]}", upstream, downstream, relation, digest, _now())])
@@ -303,8 +340,9 @@ class Registry:
     def list_lineage_links(self, upstream: str | None = None, downstream: str | None = None, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
         return self.list("links", limit, offset, upstream_version_id=upstream, downstream_version_id=downstream)
 
-    def _graph(self) -> tuple[DataFrame, ...]:
-        return tuple(self.tables.read(n) for n in ("versions", "datasets", "sources")) + (self.contents(), self.tables.read("links"))
+    def _graph(self) -> tuple[Any, ...]:
+        """versions, datasets, sources, a function that hashes the contents of given versions, links."""
+        return tuple(self.tables.read(n) for n in ("versions", "datasets", "sources")) + (self.contents, self.tables.read("links"))
 
     def _store(self, kind: str, action: str, request: Mapping[str, Any], report: lineage_ops.Report, snapshot: str | None, actor: str) -> Row:
         """Append a report of the lineage analyses with its parts, unless (kind, request, snapshot, rules) is there."""
@@ -312,15 +350,15 @@ class Registry:
         snapshot = snapshot or s["snapshot_hash"]
         key = {"kind": kind, "request": canonical_json(request), "snapshot_hash": snapshot, "rules_version": lineage_ops.RULES_VERSION}
         if found := self.tables.one("graph_reports", **key):
-            return found
+            return self._logged(found, action, kind, actor)
         text = canonical_json(s)
         digest = hash_json([key, text])
         report_id = f"{kind[:2]}-{digest[:24]}"
+        self.tables.clear("report_parts", report_id)
         for name, part in report.parts.items():
             self.tables.append("report_parts", part.select(F.lit(report_id).alias("report_id"), F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("item")))
         self.tables.append("graph_reports", [(report_id, kind, key["request"], snapshot, s["qualification"], text, digest, lineage_ops.RULES_VERSION, _now())])
-        self._audit(action, kind, report_id, actor, {"qualification": s["qualification"]})
-        return self.tables.one("graph_reports", **key)
+        return self._logged(self.tables.one("graph_reports", **key), action, kind, actor)
 
     def report_part(self, report_id: str, part: str) -> DataFrame:
         """The JSON items of one part of a stored lineage report."""

@@ -1,6 +1,7 @@
 """The registry's tables: append-only Parquet folders under one root.
 
-A single writer is assumed. Rows become visible when their file is committed; a version's metadata row is written last.
+A single writer is assumed. Rows become visible when their file is committed. Records and parts of reports lie in a folder for each version
+or report, which nothing reads before the version's or report's own row is there; so a write that died is repeated by replacing its folder.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ SCHEMAS = {
     "sources": "source_id string, name string, kind string, descriptor string, source_hash string, created_at string",
     "datasets": "dataset_id string, name string, descriptor string, schema_json string, dataset_hash string, created_at string",
     "versions": "version_id string, dataset_id string, source_id string, version_number long, previous_version_id string, record_count long, content_hash string, manifest string, provenance_hash string, created_at string",
-    "records": "version_id string, row_index long, record string, record_hash string",
+    "records": "version_id string, row_index long, record string, record_hash string, valid boolean",
     "evaluations": "evaluation_id string, version_id string, sequence long, missing string, duplicates string, schema string, provenance string, verdict string, evaluated_at string",
     "contracts": "contract_id string, dataset_id string, name string, version_number long, previous_contract_hash string, contract_hash string, definition string, created_at string",
     "contract_reports": "report_id string, contract_id string, version_id string, verdict string, violations array<struct<code:string,field:string,observed:string,expected:string>>, insufficient_reasons array<string>, report_hash string, rules_version string, created_at string",
@@ -26,6 +27,10 @@ SCHEMAS = {
 }
 
 
+#: Tables kept in a folder for each value of a column.
+FOLDERS = {"records": "version_id", "report_parts": "report_id"}
+
+
 class Tables:
     """Reads and appends the tables under ``root``; one that was never written is empty."""
 
@@ -50,7 +55,13 @@ class Tables:
     def append(self, name: str, rows: DataFrame | list[tuple]) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema(name))
         writer = df.select(*self.schema(name).names).write.mode("append")
-        (writer.partitionBy("version_id") if name == "records" else writer).parquet(self.path(name))
+        (writer.partitionBy(FOLDERS[name]) if name in FOLDERS else writer).parquet(self.path(name))
+
+    def clear(self, name: str, key: str) -> None:
+        """Delete the folder of a version or report that has no row of its own yet."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{FOLDERS[name]}={key}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def one(self, table: str, /, **where: object) -> Row | None:
         """The first row with these values, found by pushed-down filters."""

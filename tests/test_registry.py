@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerframe.operators import lineage as L
+from ledgerframe.operators.provenance import verify_version
+from ledgerframe.plans import registry
 from ledgerframe.plans.errors import ConflictError, NotFoundError, ValidationError
 from ledgerframe.plans.registry import Registry
 from ledgerframe.streaming.audit import action_counts, audit_stream
@@ -23,13 +25,14 @@ def reg(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def chain(reg):
-    """A dataset of three versions, and three single-version datasets downstream of the second."""
+    """A dataset of three versions, and downstream of the second three single-version datasets, one of them two steps away as well."""
     src = reg.list("sources").first().source_id
     main = reg.create_dataset("main", schema=SCHEMA).dataset_id
     v = [reg.create_version(main, src, [{"id": i, "name": "a"} for i in range(n)]).version_id for n in (3, 3, 5)]
     leaves = [reg.create_version(reg.create_dataset(f"leaf{i}").dataset_id, src, [{"id": i}]).version_id for i in range(3)]
     for leaf in leaves:
         reg.create_lineage_link(v[1], leaf, "DERIVED_FROM")
+    reg.create_lineage_link(leaves[0], leaves[1], "JOINED_FROM")
     return src, main, v, leaves
 
 
@@ -93,6 +96,10 @@ def test_lineage_reports(reg, chain):
     d = reg.create_provenance_impact_dossier([v[0]])
     assert d.qualification == "WIDESPREAD" and json.loads(d.summary)["affected_version_count"] == 5
     assert reg.report_part(d.report_id, "worst_branch").count() == 1
+    c = reg.create_provenance_closure_report([leaves[1]])
+    paths = sorted((json.loads(r.item)["version_path"], json.loads(r.item)["complete"]) for r in reg.report_part(c.report_id, "chains").collect())
+    up = v[1::-1]
+    assert paths == sorted(([leaves[1], *p], True) for p in ([], up[:1], up, [leaves[0]], [leaves[0], up[0]], [leaves[0], *up]))
     e = reg.create_lineage_evolution_dossier([v[0], v[1]])
     s = json.loads(e.summary)
     assert e.qualification == "EXPLAINED" and s["added_dependency_count"] == 3 and s["removed_dependency_count"] == 0
@@ -114,6 +121,94 @@ def test_tampering_and_orphans_are_found(reg, chain, spark):
     assert L.impact_report(versions, ring, v[1]).summary.first().qualification == "CYCLE_DETECTED"
 
 
+@pytest.mark.parametrize("dies_at", [1, 2, 3, 4, 5])
+def test_a_version_whose_write_died_is_made_once(reg, monkeypatch, dies_at):
+    """create_version appends records, the version, its audit event, the evaluation and its event; each may be the one that fails."""
+    src = reg.list("sources").first().source_id
+    data = reg.create_dataset(f"dies at {dies_at}", schema=SCHEMA).dataset_id
+    first, calls = reg.create_version(data, src, [{"id": 1}]), []
+    append = reg.tables.append
+
+    def fails(name, rows):
+        calls.append(name)
+        if len(calls) == dies_at:
+            raise OSError("gone")
+        append(name, rows)
+
+    monkeypatch.setattr(reg.tables, "append", fails)
+    with pytest.raises(OSError):
+        reg.create_version(data, src, [{"id": 7}, {"id": 8}])
+    monkeypatch.undo()
+    got = reg.create_version(data, src, [{"id": 7}, {"id": 8}])
+    mine = reg.list("versions", dataset_id=data).collect()
+    assert [r.version_number for r in mine] == [2, 1] and mine[0] == got and got.previous_version_id == first.version_id
+    assert got.record_count == 2 and reg.records(got.version_id).count() == 2 and reg.verify_provenance(got.version_id).valid
+    assert reg.tables.read("evaluations").where(F.col("version_id") == got.version_id).count() == 1
+    assert sorted(r.action for r in reg.list_audit(resource_id=got.version_id).collect()) == ["QUALITY_EVALUATED", "VERSION_CREATED"]
+    assert reg.get_latest_quality(got.version_id).verdict == "VERIFIED"
+
+
+def test_other_records_after_a_write_that_died(reg, monkeypatch):
+    src = reg.list("sources").first().source_id
+    data = reg.create_dataset("other records").dataset_id
+    monkeypatch.setattr(reg, "_finish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        reg.create_version(data, src, [{"id": 1}])
+    monkeypatch.undo()
+    two = reg.create_version(data, src, [])
+    assert two.version_number == 2 and two.record_count == 0 and reg.get_latest_quality(two.previous_version_id).verdict == "INSUFFICIENT"
+    with pytest.raises(ValidationError):
+        reg.create_version(data, src, reg.spark.createDataFrame([(0, "[1]")], "row_index long, record string"))
+    assert reg.create_version(data, src, [{"id": 1}, {"id": 1}]).version_number == 3 and reg.records(two.version_id).count() == 0
+
+
+def test_a_report_whose_write_died_is_stored_once(reg, chain, monkeypatch):
+    _, _, v, leaves = chain
+    append = reg.tables.append
+    for table in ("graph_reports", "audit"):
+        monkeypatch.setattr(reg.tables, "append", lambda name, rows, t=table: 1 / 0 if name == t else append(name, rows))
+        with pytest.raises(ZeroDivisionError):
+            reg.create_provenance_impact_dossier([leaves[0]])
+        monkeypatch.undo()
+    d = reg.create_provenance_impact_dossier([leaves[0]])
+    assert reg.report_part(d.report_id, "affected").count() == 1 and reg.list_audit(resource_id=d.report_id).count() == 1
+
+
+@pytest.mark.parametrize("column, code", [
+    ("source_id", "manifest_source_id_mismatch"), ("created_at", "manifest_created_at_mismatch"), ("record_count", "record_count_mismatch"), ("content_hash", "content_hash_mismatch"),
+    ("previous_version_id", "previous_version_mismatch"), ("provenance_hash", "provenance_hash_mismatch"), ("manifest", "invalid_stored_json"),
+])
+def test_verification_sees_every_exchanged_field(reg, chain, column, code):
+    _, main, v, _ = chain
+    versions, datasets, sources, contents, _ = reg._graph()
+    other = {"record_count": F.lit(99).cast("long"), "manifest": F.lit("{")}.get(column, F.lit("x"))
+    forged = versions.withColumn(column, F.when(F.col("version_id") == v[1], other).otherwise(F.col(column)))
+    got = verify_version(forged, datasets, sources, contents(), v[2]).first()
+    assert not got.valid and f"{v[1]}:{code}" in got.issues and got.checked_versions == 3
+    assert verify_version(forged, datasets, sources, contents(), v[0]).first().valid
+
+
+def test_listing_order_and_pages(reg, chain):
+    _, main, v, _ = chain
+    assert [r.version_id for r in reg.list("versions", dataset_id=main).collect()] == v[::-1]
+    assert [r.version_id for r in reg.list("versions", limit=1, offset=1, dataset_id=main).collect()] == [v[1]]
+    names = [r.name for r in reg.list("datasets", limit=500).collect()]
+    assert names[:4] == ["main", "leaf0", "leaf1", "leaf2"]
+    assert reg.list("versions", limit=0, offset=-3, dataset_id=main).count() == 1
+    assert [r.sequence for r in reg.list_audit(limit=3).collect()] == sorted((r.sequence for r in reg.list_audit(limit=3).collect()), reverse=True)
+    assert reg.list_lineage_links(upstream=v[1]).count() == 3 and reg.list_lineage_links(upstream=v[1], downstream=v[0]).count() == 0
+
+
+def test_contents_reads_only_what_is_asked(reg, chain, spark, monkeypatch):
+    _, _, v, _ = chain
+    want = {r.version_id: r.content_hash for r in reg.tables.read("versions").collect()}
+    ids = spark.createDataFrame([(v[0],), (v[2],)], "version_id string")
+    for named in (1_000, 0):
+        monkeypatch.setattr(registry, "NAMED_FOLDERS", named)
+        assert {r.version_id: r.content_hash for r in reg.contents(ids).collect()} == {x: want[x] for x in (v[0], v[2])}
+    assert {r.version_id: r.content_hash for r in reg.contents().collect()} == want
+
+
 def test_audit_stream(reg, chain, spark, tmp_path):
     n = reg.tables.read("audit").count()
     q = action_counts(audit_stream(spark, reg.tables.root)).writeStream.outputMode("complete").format("memory").queryName("audit_counts").option("checkpointLocation", str(tmp_path)).start()
