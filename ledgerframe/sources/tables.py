@@ -6,6 +6,8 @@ or report, which nothing reads before the version's or report's own row is there
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +33,11 @@ SCHEMAS = {
 FOLDERS = {"records": "version_id", "report_parts": "report_id"}
 
 
+@cache
+def _schema(name: str) -> StructType:
+    return StructType.fromDDL(SCHEMAS[name])
+
+
 class Tables:
     """Reads and appends the tables under ``root``; one that was never written is empty."""
 
@@ -38,7 +45,7 @@ class Tables:
         self.spark, self.root = spark, root.rstrip("/")
 
     def schema(self, name: str) -> StructType:
-        return self.spark.createDataFrame([], SCHEMAS[name]).schema
+        return _schema(name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -53,7 +60,7 @@ class Tables:
         return self.spark.read.schema(schema).parquet(self.path(name)) if self.exists(name) else self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame | list[tuple]) -> None:
-        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema(name))
+        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema(name)).coalesce(1)
         writer = df.select(*self.schema(name).names).write.mode("append")
         (writer.partitionBy(FOLDERS[name]) if name in FOLDERS else writer).parquet(self.path(name))
 
