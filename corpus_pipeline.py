@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it. The two classifiers are
 trained on the labelled part of the tables in ``sf_dir``, so a stage's decisions don't depend on what
-earlier stages removed. All but the last stage return the columns of ``docs`` unchanged.
+earlier stages removed. All but the last stage return the columns of ``docs`` unchanged, whatever their names beside doc_id and text.
+
+Odd rows: a null text counts as an empty one in every stage and is judged by its score like any other; texts of any length are read whole;
+rows that repeat, share an id or have none are judged each by itself, and the near-duplicate stage keeps one of each group of them; equal
+scores get equal decisions, and between copies the smallest id stays; an empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ from ledgerframe.llm.toxicity import toxicity_scores, train_toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents with a quality score of 0.5 or more."""
+    """Keeps the documents with a quality score of 0.5 or more, each row by itself; null and empty texts have a score too."""
     forest = train_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return _kept(docs, quality_scores, forest, F.col("score") >= 0.5)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents with a toxicity score under 0.3."""
+    """Keeps the documents with a toxicity score under 0.3, each row by itself; null and empty texts have a score too."""
     net = train_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return _kept(docs, toxicity_scores, net, F.col("score") < 0.3)
 
@@ -56,7 +60,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in sequences of 2048 tokens."""
+    """Pieces of the remaining documents and their places in sequences of 2048 tokens; a null or empty text is a piece of one token, each row a document."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
