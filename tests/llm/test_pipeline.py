@@ -79,3 +79,22 @@ def test_rows_are_told_apart_without_unique_ids(spark):
     assert got.columns == docs.columns
     want = [rows[0], rows[2], rows[5], rows[7], rows[8], rows[9]]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_clashing_names_and_odd_rows_go_through_all_stages(spark, folder, tmp_path):
+    """Columns named like those that stages make, null and empty texts, repeated rows and a very long text."""
+    path, docs = folder
+    rows = [(d[0], d[1], 0.5, "s", i, "c") for i, d in enumerate(docs[:120])] + [(docs[0][0], docs[0][1], 0.5, "s", 0, "c"), (7000, None, None, None, None, None), (7001, "", 1.0, "", 1, ""), (7002, docs[1][1] + " " + " ".join(f"w{i}" for i in range(30_000)) + ".", 1.0, "", 1, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score double, component_id string, length int, _row_key string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = {(r.doc_id, r.text, r.length) for r in now.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, path)
+        assert now.columns == frame.columns
+        after = {(r.doc_id, r.text, r.length) for r in now.collect()}
+        assert after <= before
+        before = after
+    left = now.collect()
+    pieces = corpus_pipeline.packing_stage(spark, now, path).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in left} and sum(r.piece == 0 for r in pieces) == len(left)
