@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,9 +58,12 @@ def rows_of(hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def features_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all features of ``words``, one after the other, and how many each word has."""
-    found = list(map(hashes_of, words))
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((h for f in found for h in f), np.uint32, int(size.sum())), size
+    sizes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for s in range(0, len(words), 16_384):  # blocks, so that few numbers are Python objects at a time
+        found = list(map(hashes_of, words[s : s + 16_384]))
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        hashes.append(np.fromiter((h for f in found for h in f), np.uint32, int(sizes[-1].sum())))
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 def agreed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,10 +109,13 @@ class TextConvNet:
 
     def embed(self, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Embeddings of words given the hashes of their features, one word after the other."""
-        a, b = rows_of(hashes, len(self.table))
-        if not len(size):
-            return np.zeros((0, self.table.shape[1]), self.table.dtype)
-        return np.add.reduceat(agreed(self.table[a], self.table[b]), np.cumsum(size) - size, axis=0)
+        out, ends = np.zeros((len(size), self.table.shape[1]), self.table.dtype), np.cumsum(size)
+        for s in range(0, len(size), 32_768):
+            part = size[s : s + 32_768]
+            first = int(ends[s] - size[s])
+            a, b = rows_of(hashes[first : first + int(part.sum())], len(self.table))
+            out[s : s + 32_768] = np.add.reduceat(agreed(self.table[a], self.table[b]), np.cumsum(part) - part, axis=0)
+        return out
 
     def project(self, embedded: np.ndarray) -> list[list[np.ndarray]]:
         """Each filter position applied to each embedding, so a convolution is a sum of look-ups."""
@@ -170,12 +177,12 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(margin, -30, 30)))).tolist()
 
 
-def evidence(docs: list[np.ndarray], y: np.ndarray, rows: int, shrink: float = 4.0) -> np.ndarray:
+def evidence(docs: Iterable[np.ndarray], y: np.ndarray, rows: int, shrink: float = 4.0) -> np.ndarray:
     """How many standard deviations, less ``shrink``, each table row's share of positive documents lies over the base rate (0 at least).
 
     ``docs`` holds the feature hashes of each document. Both rows of every feature are counted, once a document.
     """
-    n, t = np.zeros(rows), np.zeros(rows)
+    n, t = np.zeros(rows, np.float32), np.zeros(rows, np.float32)
     for h, label in zip(docs, y):
         at = np.unique(np.concatenate(rows_of(h, rows)))
         n[at] += 1
@@ -200,12 +207,16 @@ def fit(texts: list[str | None], y: np.ndarray, rows: int = 2**20, size: int = 8
     if not len(y) or y.min() == y.max():
         return net
     number: dict[bytes, int] = {}
-    words = [words_of(t) for t in texts]
-    seqs = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in words]
+    seqs, language = [], []
+    for t in texts:
+        ws = words_of(t)
+        seqs.append(np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)))
+        language.append(language_of(ws))
     hashes, count = features_of(list(number))
+    del number
     first = np.cumsum(count) - count
     of_words = lambda ids: np.repeat(first[ids] - (np.cumsum(count[ids]) - count[ids]), count[ids]) + np.arange(count[ids].sum())
-    start = evidence([hashes[of_words(np.unique(seqs[i]))] for i in train], y[train], rows)
+    start = evidence((hashes[of_words(np.unique(seqs[i]))] for i in train), y[train], rows)
     way = np.abs(rng.normal(1, 0.3, size)).astype(np.float32)
     net.table += 0.1 * np.log1p(start)[:, None].astype(np.float32) * way
     squares = np.full(rows, 0.01, np.float32)
@@ -253,9 +264,15 @@ def fit(texts: list[str | None], y: np.ndarray, rows: int = 2**20, size: int = 8
             for r in rows_of(hashes[at[some]], rows):
                 np.add.at(squares, r, (moved[some] ** 2).mean(1))
                 np.add.at(net.table, r, -rate * moved[some] / np.sqrt(squares[r])[:, None])
-    judge = Scorer(net)
-    margins = [np.log(p / (1 - p)) for p in judge.score([texts[i] for i in np.nonzero(held)[0]])]
-    calibrate(net, np.array(margins), y[held], np.array([language_of(words[i]) for i in np.nonzero(held)[0]], int), cut)
+    margins = []
+    for i in np.nonzero(held)[0]:
+        ids = np.unique(seqs[i])
+        at = of_words(ids)
+        found = np.concatenate([np.zeros((1, size), np.float32), net.embed(hashes[at], count[ids])])
+        live = np.concatenate([[False], found[1:].any(1)])
+        own = np.searchsorted(ids, seqs[i]) + 1
+        margins.append(net.margin(_short(own, net.reach, live), net.project(found)))
+    calibrate(net, np.array(margins), y[held], np.array(language, int)[held], cut)
     return net
 
 
@@ -310,6 +327,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int
     rows = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
     ids, y = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(np.float64)
     texts = rows.column("text").to_pylist()
+    del rows
     order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], texts[i] or ""))
     return fit([texts[i] for i in order], y[order] if len(order) else np.zeros(0), **how)
 
