@@ -81,11 +81,28 @@ def language_of(words: list[bytes]) -> int:
     return votes.index(best) if best else len(FUNCTION_WORDS)
 
 
+class SparseRows:
+    """A table of which most rows are zero, to be read by row numbers: a worker holds no more than the other rows."""
+
+    def __init__(self, table: np.ndarray):
+        self.shape, self.dtype = table.shape, table.dtype
+        self.some = np.nonzero(table.any(1))[0]
+        self.values = np.concatenate([table[self.some], np.zeros((1, table.shape[1]), table.dtype)])
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.some, rows)
+        found = np.append(self.some, -1)[at] == rows
+        return self.values[np.where(found, at, len(self.some))]
+
+
 @dataclass
 class TextConvNet:
     """The embedding table, filters by width, linear layer, and what is taken off the margin by language."""
 
-    table: np.ndarray
+    table: np.ndarray | SparseRows
     filters: list[np.ndarray]  # of width w: (w, embedding size, filters)
     bias: list[np.ndarray]
     out: np.ndarray
@@ -94,13 +111,7 @@ class TextConvNet:
 
     def __getstate__(self) -> dict:
         """Only rows that aren't zero travel."""
-        some = np.nonzero(self.table.any(1))[0]
-        return self.__dict__ | {"table": (self.table.shape, some, self.table[some])}
-
-    def __setstate__(self, state: dict) -> None:
-        shape, some, values = state["table"]
-        self.__dict__.update(state, table=np.zeros(shape, values.dtype))
-        self.table[some] = values
+        return self.__dict__ | {"table": self.table if isinstance(self.table, SparseRows) else SparseRows(self.table)}
 
     @property
     def reach(self) -> int:
@@ -145,7 +156,7 @@ class Scorer:
     Past ``limit`` words the memory is dropped, which costs time and changes no score.
     """
 
-    def __init__(self, net: TextConvNet, limit: int = 200_000):
+    def __init__(self, net: TextConvNet, limit: int = 100_000):
         self.net, self.limit = net, limit
         self._forget()
 

@@ -116,7 +116,7 @@ def test_every_word_enters_the_table():
             want = want + toxicity.agreed(net.table[a], net.table[b])
         assert np.allclose(e, want) and e.any()
     back = pickle.loads(pickle.dumps(net))
-    assert (back.table == net.table).all() and (back.out == net.out).all()
+    assert (back.embed(*toxicity.features_of(words)) == got).all() and (back.out == net.out).all()
 
 
 def test_a_shared_row_alone_tells_nothing():
@@ -124,6 +124,9 @@ def test_a_shared_row_alone_tells_nothing():
     (a,), (b,) = toxicity.rows_of(np.array(toxicity.hashes_of(b"cat"), np.uint32), 2**16)
     net.table[a] = 5.0
     assert not net.embed(*toxicity.features_of([b"cat"])).any()
+    thin = toxicity.SparseRows(net.table)
+    every = np.arange(2**16)
+    assert thin.values.shape[0] == 2 and (thin[every] == net.table[every]).all()
     net.table[b] = 2.0
     assert (net.embed(*toxicity.features_of([b"cat"])) == 2.0).all()
 
