@@ -76,7 +76,7 @@ def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count: str =
 def process_cache(key: object, build: Callable[[], object], keep: int = 2) -> object:
     """A value built once per Python worker process, whatever copy of this function asks for it.
 
-    A worker outlives its stage, so only the ``keep`` values asked for last stay.
+    A worker outlives its stage, so when one is built only the last ``keep`` - 1 of the others stay.
     """
     store = sys.__dict__.setdefault("_ledgerframe_cache", {})
     if key in store:
@@ -106,6 +106,7 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
                 part = batch.slice(start, rows)
                 got = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # a worker outlives its task
 
     return df.mapInArrow(run, out)
 

@@ -40,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered; the memory is dropped past ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.known, self.limit = {}, limit
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -63,7 +63,7 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = process_cache("minhash-words", WordHashes)(words)
+    h = process_cache("minhash-words", WordHashes, keep=1)(words)
     n = max(1, len(h) - size + 1)
     width = min(size, len(h))
     out = np.full(n, np.uint64(width))

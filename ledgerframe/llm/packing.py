@@ -284,7 +284,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words, added=True))
+        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words, limit=300_000, added=True), keep=1)
         chunk, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for s in range(0, batch.num_rows, 256):

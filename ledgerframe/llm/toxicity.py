@@ -350,4 +350,4 @@ def toxicity_scores(docs: DataFrame, net: TextConvNet, carry: tuple[str, ...] =
     that pass through; where one of them is called score, the score's own name gets an underscore more.
     """
     stamp = uuid.uuid4().hex
-    return scored(docs, lambda texts: process_cache(("toxicity", stamp), lambda: Scorer(net)).score(texts), carry)
+    return scored(docs, lambda texts: process_cache(("toxicity", stamp), lambda: Scorer(net), keep=1).score(texts), carry)
