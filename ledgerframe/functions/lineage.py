@@ -21,6 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the shared folder. Spark deletes it with its frame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    """A checkpoint of ``df`` in the shared folder. Spark deletes it with its frame where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+
+    A checkpoint keeps the size that was estimated for its plan, which for joins is a product. Over the rounds of a loop that number gets
+    so many digits that they fill the driver's memory, so one beyond a long gives way to Spark's default for tables of unknown size.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    plan = out._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() < 64:
+        return out
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), session)

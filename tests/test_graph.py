@@ -3,6 +3,9 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
+from ledgerframe.functions.lineage import settle
 from ledgerframe.operators import graph as G
 
 
@@ -90,6 +93,26 @@ def test_components_and_reach(spark):
     assert {s: {r.node for r in got if r.root == s} for s in nodes[:5]} == out
 
 
+def digits(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_size_estimates_stay_bounded_over_rounds(spark):
+    n = 200  # a path in mixed order takes many rounds
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:]) if a != 100], "src long, dst long")
+    got = G.components(edges, spark.range(n).withColumnRenamed("id", "node"))
+    assert digits(got) < 400
+    cut = order.index(100) + 1
+    want = {x: min(part) for part in (order[:cut], order[cut:]) for x in part}
+    assert {r.node: r.component for r in got.collect()} == want
+    one = settle(spark.range(3).toDF("k"))
+    for _ in range(6):
+        one = settle(one.join(one.toDF("j"), F.col("j") == F.col("k")).join(one, "k").select("k"))
+    assert digits(one) < 64 and sorted(r.k for r in one.collect()) == [0, 1, 2]
+
+
 def test_simple_paths_keep_parallel_edges(spark):
     e = spark.createDataFrame([("t", "u", "A", "1"), ("t", "u", "B", "2"), ("u", "t", "A", "3")], "src string, dst string, relation string, link string")
     got = sorted(tuple(r.relations) for r in G.simple_paths(e, spark.createDataFrame([("t",)], "node string")).collect())
