@@ -33,7 +33,8 @@ from .common import BROADCAST_ROWS, materialize, process_cache
 
 # Letters and numbers of Latin text (below U+0180), and the matches of the word tokenizer's pattern in it.
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_latin_words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^ \t-\r\x85\xa0{_L}{_N}]+").findall
+_latin = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^ \t-\r\x85\xa0{_L}{_N}]+")
+_latin_words, _latin_word = _latin.findall, _latin.fullmatch
 _not_latin, _other_space = re.compile("[^\x00-\u017f]|\u0130").search, re.compile(OTHER_SPACE).search
 
 
@@ -48,6 +49,11 @@ def lower_words(text: str) -> list[str] | None:
     return None if _other_space(text) else text.split()
 
 
+def single_word(segment: str) -> bool:
+    """Whether a segment is Latin, in lower case and one match of the tokenizer's pattern, so that it is one word beside any others."""
+    return not _not_latin(segment) and segment == segment.lower() and _latin_word(segment) is not None
+
+
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -284,7 +290,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words, limit=300_000, added=True), keep=1)
+        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words, limit=600_000, added=True, single=single_word), keep=1)
         chunk, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for s in range(0, batch.num_rows, 256):

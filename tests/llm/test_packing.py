@@ -134,3 +134,23 @@ def test_every_place_is_used_once_beyond_the_broadcast(spark, monkeypatch):
     spots = sorted((r.sequence_id, r.offset, r.length) for r in got)
     assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(spots, spots[1:])) and max(o + n for _, o, n in spots) <= 64
     assert len({r.sequence_id for r in got}) == len({r.sequence_id for r in whole})
+
+
+def test_words_encoded_together_have_their_own_ids():
+    rng = random.Random(11)
+    alphabet = "abstvemld'''..,,!?-- \t\n\x1c\x85\xa0 09²½ÀéßþſŉĿAZ_<|>жΣ日́İ"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(4_000)] + ["x <|EndOfText|> y", "a<|startoftext|>b", ""]
+    definition = packing._tokenizer(PATH)
+    coder = packing.SegmentEncoder(definition, packing.lower_words, limit=2_000, added=True, single=packing.single_word)
+    calls, plain = [], coder.tok.encode_batch_fast
+
+    class Counted:
+        encode_batch_fast = staticmethod(lambda given, **how: calls.append(len(given)) or plain(given, **how))
+
+    coder.tok = Counted
+    got = [ids for s in range(0, len(texts), 256) for ids in coder.encode(texts[s : s + 256])]
+    want = Tokenizer.from_str(definition).encode_batch_fast(texts, add_special_tokens=False)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in want]
+    calls.clear()
+    coder.encode([" ".join("".join(rng.choice("abcde") for _ in range(8)) for _ in range(640))])
+    assert sum(calls) <= 640 // 32 + 1
