@@ -22,6 +22,10 @@ from ledgerframe.llm.quality import quality_scores, train_quality
 from ledgerframe.llm.toxicity import toxicity_scores, train_toxicity
 
 
+#: So many dropped keys, eight bytes each, are sent to all executors.
+BROADCAST_KEYS = 1_000_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a quality score of 0.5 or more, each row by itself; null and empty texts have a score too."""
     forest = train_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -55,13 +59,16 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id"))
     order = keyed.select(key, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), F.col(key).alias("key")).alias("order"))
     first = found.join(order, key).groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.key").alias(key))
-    dropped = found.select(key).join(first, key, "left_anti")
-    return keyed.join(dropped, key, "left_anti").select(*docs.columns)
+    dropped = materialize(found.select(key).join(first, key, "left_anti"))
+    # Keys alone travel to the rows; only beyond a counted size are the whole rows shuffled to meet them.
+    few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return keyed.join(F.broadcast(dropped) if few else dropped.hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents and their places in sequences of 2048 tokens; a null or empty text is a piece of one token, each row a document."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # A worker that has run the stages before has less room than one of a packing by itself, so it remembers fewer words.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=100_000)
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", dedup_stage), ("packing", packing_stage)]

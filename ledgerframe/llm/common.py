@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -73,6 +75,13 @@ def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count: str =
     return out
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def process_cache(key: object, build: Callable[[], object], keep: int = 2) -> object:
     """A value built once per Python worker process, whatever copy of this function asks for it.
 
@@ -82,8 +91,10 @@ def process_cache(key: object, build: Callable[[], object], keep: int = 2) -> ob
     if key in store:
         store[key] = store.pop(key)
         return store[key]
-    while len(store) >= keep:
-        del store[next(iter(store))]
+    if len(store) >= keep:
+        while len(store) >= keep:
+            del store[next(iter(store))]
+        _give_back()
     store[key] = build()
     return store[key]
 

@@ -276,7 +276,7 @@ def _tokenizer(path: str) -> str:
         return f.read()
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool, remember: int = 300_000) -> DataFrame:
     """Tokenise whole texts and cut only what is longer than a sequence.
 
     Besides the piece, each row has the writing task's number and the piece's rank among that task's
@@ -290,7 +290,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words, limit=600_000, added=True, single=single_word), keep=1)
+        coder = process_cache(key, lambda: SegmentEncoder(definition, lower_words, limit=remember, added=True, single=single_word), keep=1)
         chunk, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
@@ -308,16 +308,16 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, nodes: int = 3_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, nodes: int = 3_000, with_ids: bool = False, remember: int = 300_000) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     A document's ids are those of the library's plain call without special tokens; strings of added tokens in a text become their ids.
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with ``with_ids`` the
     ids (little-endian unsigned 32-bit). Each document is its tokens and ``end_id``, so null and empty texts
-    are one token long. Null and repeated doc_ids and repeated rows are documents of their own; other columns are
+    are one token long. A worker remembers ``remember`` words, which changes its time and memory only. Null and repeated doc_ids and repeated rows are documents of their own; other columns are
     ignored; an empty table gives no rows. A document of several sequences gives full pieces and one rest.
     """
-    pieces = materialize(pieces_of(docs, tokenizer_path, capacity, end_id, with_ids))
+    pieces = materialize(pieces_of(docs, tokenizer_path, capacity, end_id, with_ids, remember))
     per_task = materialize(pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")))
     small = per_task.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # At most one row a length: bounded by the capacity.

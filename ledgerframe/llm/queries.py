@@ -52,7 +52,7 @@ def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    return pack(read(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"))
+    return pack(read(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"), remember=600_000)
 
 
 def _scored(scores: DataFrame, fold: int, held: int, cut: float) -> DataFrame:

@@ -98,3 +98,19 @@ def test_clashing_names_and_odd_rows_go_through_all_stages(spark, folder, tmp_pa
     left = now.collect()
     pieces = corpus_pipeline.packing_stage(spark, now, path).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in left} and sum(r.piece == 0 for r in pieces) == len(left)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_rows_are_shuffled_for_dropped_keys_only_beyond_a_counted_size(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 3)
+    texts = [" ".join(f"w{i % 20}x{j}" for j in range(30)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.dedup_stage(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == list(range(20))
+        assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (few, not few)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
