@@ -18,6 +18,7 @@ import base64
 import codecs
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -78,6 +79,20 @@ def segments_with_space(text: str) -> list[str] | None:
     return None if _other_space(text) else _segment(text)
 
 
+class _Known(dict):
+    """Ids of segments. One that isn't here is taken from ``old``, or gets a place that is filled when its ids are found."""
+
+    def __init__(self, old: dict):
+        self.old, self.fresh = old, {}
+
+    def __missing__(self, segment: str) -> bytes | bytearray:
+        got = self.old.get(segment)
+        if got is None:
+            got = self.fresh[segment] = bytearray()
+        self[segment] = got
+        return got
+
+
 class SegmentEncoder:
     """Encodes texts by a tokenizers definition, remembering the ids of short segments.
 
@@ -92,6 +107,7 @@ class SegmentEncoder:
     """
 
     def __init__(self, definition: str, split: Callable[[str], list[str] | None] | None = None, limit: int = 400_000, added: bool = False, single: Callable[[str], bool] | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would only cost time
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
@@ -100,7 +116,7 @@ class SegmentEncoder:
         holds, cut = re.compile("|".join(map(re.escape, strings)) or "(?!)", re.I).search, split or segments_with_space
         heads = {re.match(r"[^\w\s]*", t)[0] for t in strings}  # the same in any case, and found faster
         self.split = (lambda text: None if any(h in text for h in heads) and holds(text) else cut(text)) if strings else cut
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit, self.known = limit, _Known({})
         suffix = json.loads(definition)["model"].get("end_of_word_suffix")
         self.single = single if suffix else None
         if self.single:
@@ -134,21 +150,23 @@ class SegmentEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         texts = list(texts)
         parts = list(map(self.split, texts))
-        known, old = self.young, self.old
-        fresh = []
-        for w in set().union(*filter(None, parts)).difference(known):
-            got = old.get(w)
-            known[w] = got
-            if got is None:
-                fresh.append(w)
-        known.update(zip(fresh, self._segment_ids(fresh)))
-        rest = iter(self._ids([t for t, p in zip(texts, parts) if p is None]))
-        out = [next(rest) if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in fresh:
+        known = self.known
+        try:
+            found = [p and list(map(known.__getitem__, p)) for p in parts]
+            for (w, place), ids in zip(known.fresh.items(), self._segment_ids(list(known.fresh))):
+                place += ids
+                known[w] = ids
+            rest = iter(self._ids([t for t, p in zip(texts, parts) if p is None]))
+        except BaseException:
+            self.known = _Known({})  # places that stayed empty must not be taken for ids
+            raise
+        out = [next(rest) if p is None else b"".join(p) for p in found]
+        for w in known.fresh:
             if len(w) > 48:
                 known.pop(w, None)
+        known.fresh = {}
         if len(known) > self.limit // 2:
-            self.old, self.young = known, {}
+            known.old, self.known = {}, _Known(known)
         return out
 
 

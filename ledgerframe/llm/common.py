@@ -75,7 +75,7 @@ def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count: str =
     return out
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -94,7 +94,7 @@ def process_cache(key: object, build: Callable[[], object], keep: int = 2) -> ob
     if len(store) >= keep:
         while len(store) >= keep:
             del store[next(iter(store))]
-        _give_back()
+        give_back()
     store[key] = build()
     return store[key]
 
@@ -117,24 +117,30 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
                 part = batch.slice(start, rows)
                 got = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()  # a worker outlives its task
+                del part, got
+            batch = None  # before the next one comes
+        give_back()  # a worker outlives its task
 
     return df.mapInArrow(run, out)
 
 
 def scored(docs: DataFrame, score: Callable[[list], list[float]], carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in ``carry``, and the score of each text. Names of carried columns may be any, the score's gives way."""
+    """doc_id, the columns in ``carry``, and the score of each text. Names of carried columns may be any, the score's gives way.
+
+    A carried text is the one that is scored: it goes to the workers once.
+    """
     keep = ["doc_id", *carry]
     name = "score"
     while name in keep:
         name += "_"
     inner = [f"c{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    text = inner[keep.index("text")] if "text" in keep else "text"
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {c: cols[c] for c in inner} | {"score": score(cols["text"])}
+        return {c: cols[c] for c in inner} | {"score": score(cols[text])}
 
-    rows = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner)), F.col("text").alias("text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner)), *[F.col("text").alias("text")] * (text not in inner))
     return map_arrow(rows, run, ", ".join(f"{i} {k}" for i, k in zip(inner, kinds)) + ", score double").toDF(*keep, name)
 
 

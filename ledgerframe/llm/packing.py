@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import OTHER_SPACE, SegmentEncoder
-from .common import BROADCAST_ROWS, materialize, process_cache
+from .common import BROADCAST_ROWS, give_back, materialize, process_cache
 
 # Letters and numbers of Latin text (below U+0180), and the matches of the word tokenizer's pattern in it.
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -44,9 +44,12 @@ def lower_words(text: str) -> list[str] | None:
     Latin text is put in lower case and cut at every match of the tokenizer's pattern, so that case and punctuation don't
     multiply the segments; other text is cut at white space, or (None) not at all.
     """
-    if not _not_latin(text):
-        return _latin_words(text.lower())
-    return None if _other_space(text) else text.split()
+    try:
+        text.encode("latin-1")  # far faster than the search, which only decides what this doesn't
+    except UnicodeEncodeError:
+        if _not_latin(text):
+            return None if _other_space(text) else text.split()
+    return _latin_words(text.lower())
 
 
 def single_word(segment: str) -> bool:
@@ -304,6 +307,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                         rows.append((doc, i, at // 4, n, zlib.crc32(body), chunk, seen[n], *([body] if with_ids else [])))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 

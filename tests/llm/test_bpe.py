@@ -1,9 +1,11 @@
 """Byte-level BPE against tiktoken, and exact round trips."""
 
+import os
 import random
 
 import numpy as np
 import public_tokenizers as public
+import pytest
 import tiktoken
 
 from ledgerframe.llm import bpe
@@ -43,3 +45,32 @@ def test_columns(spark):
     back = bpe.decode(bpe.encode(df, PATH, public.PATTERN), PATH, public.PATTERN).collect()
     assert sorted(bytes(r.data).decode() for r in back) == sorted(t or "" for _, t, _ in rows)
     assert bpe.round_trip(df.limit(0), PATH, public.PATTERN).count() == 0
+
+
+def test_an_encoder_that_failed_once_still_gives_right_ids(monkeypatch):
+    coder = bpe.SegmentEncoder(DEFINITION)
+    want = bpe.SegmentEncoder(DEFINITION).encode(["some words here", "words"])
+    with monkeypatch.context() as broken:
+        broken.setattr(coder, "_segment_ids", lambda segments: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            coder.encode(["some words"])
+    assert coder.encode(["some words here", "words"]) == want
+
+
+def test_an_encoder_uses_one_thread(monkeypatch):
+    """A task has one core. Whoever sets the variable keeps what was set."""
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    bpe.SegmentEncoder(DEFINITION)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    bpe.SegmentEncoder(DEFINITION)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "true"
+
+
+def test_remembered_segments_stay_bounded_and_ids_the_same():
+    coder, plain = bpe.SegmentEncoder(DEFINITION, limit=20), bpe.SegmentEncoder(DEFINITION)
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(5)) for _ in range(2)]
+        assert coder.encode(texts) == plain.encode(texts)
+        assert len(coder.known) <= 20 and len(coder.known.old) <= 20 and not getattr(coder.known.old, "old", None)
