@@ -41,9 +41,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _kept(docs: DataFrame, scores, model, rule) -> DataFrame:
     """The rows that a score keeps. All columns pass through the scoring itself, so nothing is joined back."""
     own = docs.columns
-    named = docs.toDF(*(f"c{i}" for i in range(len(own)))).withColumn("doc_id", F.col(f"c{own.index('doc_id')}")).withColumn("text", F.col(f"c{own.index('text')}"))
-    found = scores(named, model, carry=tuple(f"c{i}" for i in range(len(own)))).where(rule)
-    return found.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(own)))
+    inner = [n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(own)]
+    found = scores(docs.toDF(*inner), model, carry=tuple(n for n in inner if n != "doc_id")).where(rule)
+    return found.select(*(F.col(i).alias(n) for i, n in zip(inner, own)))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_arrow, scored
+from .common import crc_of_id, map_arrow, process_cache, scored
 
 NAMES = (
     "log_bytes", "log_words", "log_lines", "mean_word", "max_word", "upper", "lower", "digit", "space", "symbol", "high", "stops",
@@ -160,4 +160,9 @@ def quality_scores(docs: DataFrame, forest: Forest, carry: tuple[str, ...] = ())
     Null and repeated ids give a row each. ``carry`` names further columns of ``docs`` that pass through unchanged; where one of
     them is called score, the score's own name gets an underscore more.
     """
-    return scored(docs, lambda texts: forest.score(np.stack([statistics(t) for t in texts])).tolist(), carry)
+
+    def score(texts: list[str | None]) -> list[float]:
+        process_cache("quality", bool, keep=1)  # nothing is remembered here, but what a worker remembers of another stage goes
+        return forest.score(np.stack([statistics(t) for t in texts])).tolist()
+
+    return scored(docs, score, carry)

@@ -349,5 +349,6 @@ def toxicity_scores(docs: DataFrame, net: TextConvNet, carry: tuple[str, ...] =
     Null and empty texts count as no words and are scored. Null and repeated ids give a row each. ``carry`` names further columns
     that pass through; where one of them is called score, the score's own name gets an underscore more.
     """
-    stamp = uuid.uuid4().hex
-    return scored(docs, lambda texts: process_cache(("toxicity", stamp), lambda: Scorer(net), keep=1).score(texts), carry)
+    # As a broadcast value a worker holds the net once, not once in each task's function beside the remembered one.
+    stamp, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(net)
+    return scored(docs, lambda texts: process_cache(("toxicity", stamp), lambda: Scorer(sent.value), keep=1).score(texts), carry)

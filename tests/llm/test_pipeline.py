@@ -1,6 +1,8 @@
 """The pipeline against its brute-force version: plain scoring, all pairs, and the pieces of what is left."""
 
 import random
+import re
+import sys
 
 import numpy as np
 import public_tokenizers as public
@@ -114,3 +116,20 @@ def test_rows_are_shuffled_for_dropped_keys_only_beyond_a_counted_size(spark, mo
         assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (few, not few)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scoring_sends_each_text_to_the_workers_once(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage):
+        plan = stage(spark, docs, path)._jdf.queryExecution().optimizedPlan().toString()
+        sent = next(x for x in plan.splitlines() if "Project [" in x or "Relation [" in x).split("[", 1)[1]
+        assert plan.count("MapInArrow") == 1 and len(re.findall(r"\btext#\d+", sent)) == 1, plan
+
+
+def test_quality_scoring_lets_go_of_what_a_worker_remembers_of_other_stages(monkeypatch):
+    found, forest = [], quality.fit_forest(np.zeros((0, len(quality.NAMES))), np.zeros(0))
+    monkeypatch.setattr(quality, "scored", lambda docs, score, carry: found.append(score))
+    quality.quality_scores(None, forest)
+    monkeypatch.setattr(sys, "_ledgerframe_cache", {"packing": "words"}, raising=False)
+    assert found[0](["A text."]) == [0.5] and "packing" not in sys._ledgerframe_cache
