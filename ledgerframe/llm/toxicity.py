@@ -113,6 +113,17 @@ class TextConvNet:
         """Only rows that aren't zero travel."""
         return self.__dict__ | {"table": self.table if isinstance(self.table, SparseRows) else SparseRows(self.table)}
 
+    def arrays(self) -> dict:
+        """The net as numpy arrays in a dict, rows that are zero left out."""
+        state = self.__getstate__()
+        return state | {"table": state["table"].__dict__}
+
+    @classmethod
+    def of_arrays(cls, arrays: dict) -> TextConvNet:
+        table = SparseRows.__new__(SparseRows)
+        table.__dict__.update(arrays["table"])
+        return cls(**arrays | {"table": table})
+
     @property
     def reach(self) -> int:
         """The width of the widest filter."""
@@ -349,6 +360,7 @@ def toxicity_scores(docs: DataFrame, net: TextConvNet, carry: tuple[str, ...] =
     Null and empty texts count as no words and are scored. Null and repeated ids give a row each. ``carry`` names further columns
     that pass through; where one of them is called score, the score's own name gets an underscore more.
     """
-    # As a broadcast value a worker holds the net once, not once in each task's function beside the remembered one.
-    stamp, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(net)
-    return scored(docs, lambda texts: process_cache(("toxicity", stamp), lambda: Scorer(sent.value), keep=1).score(texts), carry)
+    # As a broadcast value a worker holds the net once, not once in each task's function beside the remembered one. Broadcast
+    # values are read by plain pickle, and workers may not have this package, so only arrays are sent.
+    stamp, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(net.arrays())
+    return scored(docs, lambda texts: process_cache(("toxicity", stamp), lambda: Scorer(TextConvNet.of_arrays(sent.value)), keep=1).score(texts), carry)
