@@ -30,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a Parquet row group. Every task that writes or reads one holds it in the JVM's heap; Parquet's own 128 MB, times the cores, fill Spark's default heap.
+ROW_GROUP = 16 << 20
+
+
+def bound_row_groups(df: DataFrame) -> None:
+    """Have the session of ``df`` write row groups of ``ROW_GROUP`` bytes from now on, where nobody has set ``parquet.block.size``.
+
+    For frames that a caller writes: only the session's setting reaches such a write.
+    """
+    conf, key = df.sparkSession.conf, "parquet.block.size"
+    if not any(conf.get(f"{p}{key}", None) for p in ("", "spark.hadoop.")) and not df.sparkSession.sparkContext._jsc.hadoopConfiguration().get(key):
+        conf.set(key, str(ROW_GROUP))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write as Parquet under the shared folder and read back.
 
@@ -37,7 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
     folder of its own, which may be deleted when it has ended; ``release`` deletes one that no plan reads any more.
     """
     path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

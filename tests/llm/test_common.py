@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.dataset
 import pytest
 
 from ledgerframe.llm import common
@@ -29,6 +30,29 @@ def test_written_tables_can_be_released(spark):
     assert not os.path.isdir(path.removeprefix("file:"))
 
 
+def groups(path):
+    """Bytes of all row groups of a written table."""
+    return [g.total_byte_size for f in pyarrow.dataset.dataset(path.removeprefix("file:"), format="parquet").get_fragments() for g in f.row_groups]
+
+
+def test_written_tables_have_bounded_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROW_GROUP", 200_000, raising=False)
+    df = spark.range(0, 30_000, 1, 1).selectExpr("id", "sha2(string(id), 256) AS text")  # 2 MB
+    found = groups(common.materialize(df)._written_to)
+    assert len(found) > 5 and max(found) < 400_000
+
+
+def test_a_callers_own_row_group_size_stays(spark):
+    session = spark.newSession()
+    common.bound_row_groups(session.range(1))
+    assert session.conf.get("parquet.block.size") == str(common.ROW_GROUP)
+    for key in ("parquet.block.size", "spark.hadoop.parquet.block.size"):
+        other = spark.newSession()
+        other.conf.set(key, "5000000")
+        common.bound_row_groups(other.range(1))
+        assert other.conf.get(key) == "5000000" and other.conf.get("parquet.block.size", "5000000") == "5000000"
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Context:
         master = "spark://host:7077"

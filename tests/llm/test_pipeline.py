@@ -8,11 +8,12 @@ import sys
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow.dataset
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerframe.llm import quality, toxicity
+from ledgerframe.llm import common, quality, toxicity
 
 from .test_classifiers import DOCS, LABELS, corpus
 from .test_minhash import brute
@@ -152,3 +153,19 @@ print("rows:", corpus_pipeline.run(spark, {path!r}).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("PYSPARK_", "SPARK_"))}
     got = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows: " in got.stdout, got.stderr[-2000:]
+
+
+def test_a_stages_rows_are_written_in_bounded_row_groups(spark, folder, monkeypatch, tmp_path):
+    """Parquet holds a row group a core in the heap, so over 0.6 GB and with Spark's default heap the second stage ran out of it."""
+    path, _ = folder
+    monkeypatch.setattr(common, "ROW_GROUP", 200_000, raising=False)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        session = spark.newSession()
+        docs = session.read.parquet(f"{path}/documents.parquet").crossJoin(session.range(20).toDF("i"))
+        if name == "near_duplicates":
+            docs = session.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 10), x -> sha2(string(id * 100 + x), 256))) AS text")
+        else:
+            docs = docs.selectExpr("doc_id", "concat(text, ' ', doc_id, ' ', i) AS text")
+        stage(session, docs.coalesce(1), path).coalesce(1).write.parquet(out := str(tmp_path / name))
+        sizes = [g.total_byte_size for f in pyarrow.dataset.dataset(out, format="parquet").get_fragments() for g in f.row_groups]
+        assert sum(sizes) > 1_000_000 and max(sizes) < 500_000, (name, sizes)
